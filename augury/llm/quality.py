@@ -1,71 +1,119 @@
 """Quality: ordinal cumulative-link regression on graded ratings.
 
-P(grade > k) = logistic(w.x - t_k): one weight vector over hashed text features for all grades, and a threshold for each step between grades. The fit stacks, for every rating
+P(grade > k) = logistic(w.x - t_k): one weight vector over hashed text features for all grades, and a threshold for each step between grades. The fit (Spark ML) stacks, for every rating
 and every step, the question "is the grade above k?" and solves them as one logistic regression with the shared features and one indicator per step; thresholds come out in
 order, as more ratings pass a lower step. Expected grade and tail probabilities follow in closed form.
 
-Features: letter runs in lower case, runs of other signs as they are, and the shape of each word (case, length class), hashed, as shares of the text.
+Features: the shape of each word (runs of capitals, small letters and digits as one sign each, other signs as they are), of each pair of neighbours, and whether a word
+repeats its neighbour, hashed to ``n_features`` places, as square roots of shares of the text; and the share of distinct words, by tenths for short, middling and long texts.
 
-The fit takes at most ``most_rows`` ratings, chosen by a hash of their ids over all of them. Defined results: null and empty texts have no features and
+The fit takes at most ``most_rows`` ratings, chosen by a hash of their ids over all of them. Defined results: null and empty texts have no words and
 get the thresholds' own probabilities; ratings that are null don't train; a single grade: that grade for all; no ratings: null grade; repeated rows alike; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from augury.llm.common import stored
+from augury.llm.common import small_batches, stored, texts
 from augury.llm.toxicity import held_out
 
+RUNS = re.compile(r"([^\W\d_]+)|(\d+)")
+
+
+class Shapes:
+    """Feature vectors of texts; a word's shape is remembered, up to ``most`` words."""
+
+    VARIETY = 33
+
+    def __init__(self, n_features: int, most: int = 400_000):
+        self.n, self.most, self.known = n_features, most, {}
+
+    @staticmethod
+    def shape(w: str) -> str:
+        def one(m):
+            if m[2]:
+                return "9"
+            return "A" if m[1].isupper() else "a" if m[1].islower() else "Aa"
 
-def features(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(t, "\\s+"), lambda w: w != "")
-    signs = F.transform(words, lambda w: F.concat(F.lit("#"), F.translate(F.regexp_replace(w, "[\\p{L}\\p{N}]+", "w"), "", "")))
-    shape = F.transform(words, lambda w: F.concat(F.lit("@"), F.when(F.upper(w) == w, "A").otherwise("a"), F.least(F.length(w), F.lit(12)).cast("string")))
-    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}\\p{N}]+", "")))
-    return F.concat(plain, signs, shape)
+        return RUNS.sub(one, w)
+
+    def vector(self, text: str) -> np.ndarray:
+        out = np.zeros(self.n + self.VARIETY)
+        words = text.split()
+        if not words:
+            return out
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        kinds = set(words)
+        for w in kinds:
+            if w not in known:
+                known[w] = zlib.crc32(self.shape(w).encode())
+        ids = np.array([known[w] for w in words], np.int64)
+        again = np.array([a == b for a, b in zip(words, words[1:])], np.int64)  # noqa: B905
+        pairs = (ids[1:] * 31 + ids[:-1] * 17 + again * 7919) % 0x7FFFFFFF
+        count = np.bincount(np.concatenate((ids, pairs)) % self.n, minlength=self.n)
+        out[: self.n] = np.sqrt(count / (2 * len(words)))
+        length = 0 if len(words) < 60 else 1 if len(words) < 400 else 2
+        out[self.n + length * 11 + len(kinds) * 10 // len(words)] = 1
+        return out
 
 
 class Quality:
-    def __init__(self, *, n_features: int = 1 << 14, iterations: int = 60, reg: float = 1e-6, most_rows: int = 12_000):
-        self.hashing = HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=n_features)
-        self.normal = Normalizer(inputCol="__tf", outputCol="__x", p=2.0)
-        self.iterations, self.reg, self.most_rows = iterations, reg, most_rows
+    def __init__(self, *, n_features: int = 1 << 10, iterations: int = 50, reg: float = 1e-5, most_rows: int = 12_000):
+        self.n_features, self.iterations, self.reg, self.most_rows = n_features, iterations, reg, most_rows
         self.grades: list[int] = []
-        self.model = None
+        self.weights, self.thresholds = None, np.zeros(0)
 
     def fit(self, docs: DataFrame, ratings: DataFrame, *, text: str = "text", key: str = "doc_id", grade: str = "grade") -> Quality:
         given = ratings.select(F.col(key), F.col(grade).cast("int").alias("__grade")).where(F.col(key).isNotNull() & F.col("__grade").isNotNull())
         chosen = given.where(~held_out(F.col(key))).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(self.most_rows)
-        rows = stored(docs.select(key, features(docs[text]).alias("__terms")).join(F.broadcast(chosen), key).select("__grade", "__terms"), "quality")
-        self.grades = sorted(r[0] for r in rows.select("__grade").distinct().collect())
+        n = self.n_features
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shapes = Shapes(n)
+            for b in small_batches(batches, "__text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column("__grade"), pa.array([shapes.vector(t) for t in texts(b, "__text")], pa.list_(pa.float64()))], names=["grade", "x"])
+
+        rows = docs.select(key, docs[text].alias("__text")).join(F.broadcast(chosen), key).select("__grade", "__text")
+        rows = stored(rows.mapInArrow(run, "grade int, x array<double>"), "quality").coalesce(8)
+        self.grades, self.weights = sorted(r[0] for r in rows.select("grade").distinct().collect()), None
         if len(self.grades) < 2:
             return self
         steps = self.grades[:-1]
-        asked = self.normal.transform(self.hashing.transform(rows)).select("__grade", "__x", F.explode(F.array(*map(F.lit, steps))).alias("k"))
-        asked = asked.select((F.col("__grade") > F.col("k")).cast("double").alias("label"), "__x", array_to_vector(F.array(*[(F.col("k") == k).cast("double") for k in steps])).alias("__k"))
-        asked = VectorAssembler(inputCols=["__x", "__k"], outputCol="features").transform(asked).select("label", "features")
-        self.model = LogisticRegression(maxIter=self.iterations, regParam=self.reg, fitIntercept=False, standardization=False).fit(asked)
+        asked = rows.select("grade", "x", F.explode(F.array(*map(F.lit, steps))).alias("k"))
+        step = F.array(*[(F.col("k") == k).cast("double") for k in steps])
+        asked = asked.select((F.col("grade") > F.col("k")).cast("double").alias("label"), array_to_vector(F.concat("x", step)).alias("features"))
+        own = LogisticRegression(maxIter=self.iterations, regParam=self.reg, fitIntercept=False, standardization=False).fit(asked).coefficients.toArray()
+        self.weights, self.thresholds = own[: -len(steps)], -own[-len(steps) :]
         return self
 
     def score(self, docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """Columns ``keep`` with expected_grade and tail: array of P(grade > k) for each step in order."""
-        rows = docs.select(*keep, docs[text].alias("__text"))
-        if self.model is None:
-            grade = F.lit(float(self.grades[0]) if self.grades else None).cast("double")
-            return rows.select(*keep, grade.alias("expected_grade"), F.array().cast("array<double>").alias("tail"))
-        steps = len(self.grades) - 1
-        rows = self.normal.transform(self.hashing.transform(rows.withColumn("__terms", features(F.col("__text")))))
-        own = self.model.coefficients.toArray()
-        shared = rows.withColumn("__k", array_to_vector(F.array(*[F.lit(0.0)] * steps)))
-        scored = self.model.transform(VectorAssembler(inputCols=["__x", "__k"], outputCol="features").transform(shared))
-        margin = vector_to_array("rawPrediction")[1]
-        tail = F.array(*[1 / (1 + F.exp(-(margin + F.lit(float(c))))) for c in own[len(own) - steps :]])
-        grade = sum(((F.lit(self.grades[i + 1] - self.grades[i]) * F.col("tail")[i] for i in range(steps))), F.lit(float(self.grades[0])))
-        return scored.select(*keep, tail.alias("tail")).select(*keep, grade.alias("expected_grade"), "tail")
+        weights, thresholds, grades, n = self.weights, self.thresholds, np.array(self.grades, float), self.n_features
+        schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.ArrayType(T.DoubleType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shapes = Shapes(n)
+            for b in small_batches(batches, "__text"):
+                if weights is None:
+                    grade, tail = [float(grades[0]) if len(grades) else None] * b.num_rows, [[]] * b.num_rows
+                else:
+                    margin = np.array([shapes.vector(t) @ weights for t in texts(b, "__text")])
+                    tail = 1 / (1 + np.exp(-np.clip(margin[:, None] - thresholds[None, :], -40, 40)))
+                    grade, tail = grades[0] + tail @ np.diff(grades), list(tail)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(grade, pa.float64()), pa.array(tail, pa.list_(pa.float64()))], names=schema.names)
+
+        return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
