@@ -7,11 +7,11 @@ two sorts share the work, and both are exact:
 1. *Runs.* Each window of ``length`` bytes has a least ``seed``-byte string (by hash) inside it. Neighbouring windows with the same least string form a run: about one
    per hundred bytes. Equal windows lie in runs with equal least strings. Runs are ranged and sorted by least string and by the hash of all their bytes. A run equal to a neighbour is
    repeated as a whole; one that shares only the least string goes to the second sort; all others can't be repeated.
-2. *Suffixes.* Every window start of the runs left over is a suffix entry: its eight leading bytes, then the hash of all its ``length`` bytes (the later keys of a multikey sort).
+2. *Suffixes.* Every window start of the runs left over is a suffix entry: its two leading bytes, then the hash of all its ``length`` bytes (the later keys of a multikey sort).
    Entries are ranged and sorted by these and by place, so that a string with very many places is spread over several buckets; entries equal to a
    neighbour are repeated. The first and last entries of the buckets meet in a small second step.
 
-Strings count as equal if two 64-bit hashes agree (leading bytes, and a polynomial hash modulo 2^64 of the whole); no text is cut or sampled.
+Strings count as equal if their leading bytes and a polynomial hash modulo 2^64 of the whole agree; no text is cut or sampled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augury.llm.common import small_batches, stored
+from augury.llm.common import dropped, small_batches, stored
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -102,9 +102,9 @@ def arrays(schema: str | pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-RUN = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("many", pa.bool_())])
-FOUND = pa.schema([("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32())])
-ENTRY = pa.schema([("lead", pa.int64()), ("whole", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.int32()), ("own", pa.bool_())])
+RUN = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("k1", pa.int32()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("many", pa.bool_())])
+FOUND = pa.schema([("kind", pa.int32()), ("k1", pa.int32()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32())])
+ENTRY = pa.schema([("lead", pa.int32()), ("whole", pa.int64()), ("k1", pa.int32()), ("k2", pa.int64()), ("p", pa.int32()), ("own", pa.bool_())])
 MARKED = pa.schema([*ENTRY, ("same", pa.bool_()), ("edge", pa.bool_())])
 REPEATED, ASK, HELP = 0, 1, 2
 
@@ -167,7 +167,9 @@ def sort_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge[-1] |= after is None
         at = (equal & rows[5]) | edge
         if at.any():
-            yield arrays(MARKED, *[c[at] for c in rows], equal[at], edge[at])
+            inner = ~edge[at]  # only edge rows still need what they are sorted by
+            lead, whole = (pa.array(c[at], f.type, mask=inner) for c, f in zip(rows, MARKED, strict=False) if f.name in ("lead", "whole"))
+            yield pa.RecordBatch.from_arrays([lead, whole, *[pa.array(c[at]) for c in rows[2:]], pa.array(equal[at]), pa.array(edge[at])], schema=MARKED)
 
 
 def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = 400, seed: int = 200, keep_text: bool = True) -> DataFrame:
@@ -179,7 +181,9 @@ def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = F.coalesce(docs[text], F.lit("")).cast("binary")
-    rows = docs.select(F.col(key), data.alias("data"), F.xxhash64(key, text).alias("k1"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k2"))
+    whole_number = isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    place = F.coalesce(F.col(key).cast("long") if whole_number else F.xxhash64(key), F.lit(0))  # with a hash of the text, for rows that repeat a key
+    rows = docs.select(F.col(key), data.alias("data"), F.hash(key, text).alias("k1"), place.alias("k2"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "data"):
@@ -194,6 +198,7 @@ def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     runs = stored(rows.where(F.length("data") >= length).select("data", "k1", "k2").mapInArrow(find, ddl(RUN)), "runs")
     by_run = ["least", "whole", "k1", "p0"]
     found = stored(runs.repartitionByRange(parts, *by_run).sortWithinPartitions(*by_run).mapInArrow(sort_runs, ddl(FOUND)), "found")
+    dropped(runs)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "data"):
@@ -206,8 +211,8 @@ def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
                 p = np.flatnonzero(own)
                 for a in range(0, len(p), 1 << 17):
                     q = p[a : a + (1 << 17)]
-                    lead = octets[q[:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64)
-                    yield arrays(ENTRY, (lead ^ np.uint64(1 << 63)).view(np.int64), hashed.of(q, q + length).view(np.int64), np.full(len(q), k1), np.full(len(q), k2), q.astype(np.int32), own[q] == 2)
+                    lead = octets[q].astype(np.int32) << 8 | octets[q + 1]
+                    yield arrays(ENTRY, lead, hashed.of(q, q + length).view(np.int64), np.full(len(q), k1), np.full(len(q), k2), q.astype(np.int32), own[q] == 2)
 
     wanted = found.where(F.col("kind") != REPEATED).groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1", "kind")).alias("wanted"))
     by_entry = ["lead", "whole", "k1", "p"]
