@@ -12,9 +12,10 @@ Keys: ``block_keys`` cuts 64 bits into ``max_distance + 3`` blocks and keys by e
 ``max_distance`` bits, so no link is lost. Stages that link by shingle similarity take ``shingle_keys`` instead, made with the fingerprint.
 
 No pair list is emitted: a key's rows are searched by growing components (a found row leaves the rows still to be searched), and only one link
-per joined row comes out. A key with more than ``dense_rows`` distinct fingerprints isn't gathered; its rows go by ``ball_links``:
+per joined row comes out. A key with more than ``dense_rows`` distinct fingerprints isn't gathered. With 64 bits its rows go by ``ball_links``:
 each fingerprint meets all values within ``max_distance / 2`` bits of it, and two fingerprints link if they share such a value. That is exact and needs
-only a minimum per value, which partial aggregates compute whatever the group's size.
+only a minimum per value, which partial aggregates compute whatever the group's size. Wider fingerprints go by ``split_keys``: the key's rows are dealt
+into parts, and every two parts of it meet under a key of their own, so all of the key's pairs are still searched and no task holds more than about ``dense_rows`` rows.
 """
 
 from __future__ import annotations
@@ -149,22 +150,23 @@ class KeySearch:
         return links
 
     def links(self, key: np.ndarray, fp: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b) of whole runs; b is -1 and the flag is set for rows of runs that are too large to be searched here."""
+        """(a, b, dense) of whole runs; b is the key and dense is set for rows of runs that are too large to be searched here."""
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         two = two[self.pairs(fp, two, two + 1)] if len(two) else two
-        a, b = [id_[two]], [id_[two + 1]]
+        a, b, dense = [id_[two]], [id_[two + 1]], [np.zeros(len(two), bool)]
         for s, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             if n > self.dense_rows:
                 a.append(id_[s : s + n])
-                b.append(np.full(n, -1))
+                b.append(key[s : s + n])
+                dense.append(np.ones(n, bool))
             elif got := self.grow(fp[s : s + n]):
                 x = np.array(got) + s
                 a.append(id_[x[:, 0]])
                 b.append(id_[x[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return a, b, b == -1
+                dense.append(np.zeros(len(x), bool))
+        return np.concatenate(a), np.concatenate(b), np.concatenate(dense)
 
 
 def links_under_keys(rows: DataFrame, bits: int, max_distance: int, dense_rows: int, partitions: int | None = None) -> DataFrame:
@@ -190,7 +192,7 @@ def links_under_keys(rows: DataFrame, bits: int, max_distance: int, dense_rows:
             if dense_key is not None:  # the rest of a run that was given up as too large
                 n_same = int(np.searchsorted(k, dense_key, "right"))
                 if n_same:
-                    yield out(i[:n_same], np.full(n_same, -1), np.ones(n_same, bool))
+                    yield out(i[:n_same], k[:n_same], np.ones(n_same, bool))
                     k, f, i = k[n_same:], f[n_same:], i[n_same:]
                 if not len(k):
                     continue
@@ -205,14 +207,22 @@ def links_under_keys(rows: DataFrame, bits: int, max_distance: int, dense_rows:
                 held, held_rows = [(k[last:], f[last:], i[last:])], len(k) - last
             if held_rows > dense_rows:
                 dense_key = held[0][0][0]
-                for _, _, x in held:
-                    yield out(x, np.full(len(x), -1), np.ones(len(x), bool))
+                for x, _, i in held:
+                    yield out(i, x, np.ones(len(x), bool))
                 held, held_rows = [], 0
         yield out(*(search.links(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else none))
 
     return by_key.mapInArrow(run, "a long, b long, dense boolean")
 
 
+def split_keys(dense: DataFrame, distinct: DataFrame, dense_rows: int) -> DataFrame:
+    """``dense`` (id, k) to (id, fp, keys): each key's rows dealt into parts of about ``dense_rows / 2`` by a hash of the id, a new key for every two parts."""
+    parts = F.ceil(2 * F.col("n") / dense_rows).cast("int")
+    sized = dense.join(dense.groupBy("k").agg(F.count("*").alias("n")), "k").withColumns({"parts": parts, "own": F.pmod(F.xxhash64("id", F.lit(3)), parts).cast("int")})
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("k", F.least("own", j), F.greatest("own", j)))
+    return distinct.select("id", "fp").join(sized.select("id", other.alias("keys")), "id").select("id", "fp", "keys")
+
+
 def ball_links(fps: DataFrame, max_distance: int) -> DataFrame:
     """(id, fp with one long) to (a, b): ids that share a value within ``max_distance // 2`` bits, linked to that value's smallest id. For even ``max_distance`` exact:
     any two within it have such a value between them, and any two that share one are within it."""
@@ -237,11 +247,13 @@ def link(fps: DataFrame, *, key: str = "doc_id", bits: int = 64, max_distance: i
     rows = distinct if own else distinct.withColumn("keys", block_keys(F.col("fp")[0], max_distance, bits))
     found = stored(links_under_keys(rows, bits, max_distance, dense_rows), "links")
     edges = found.where("not dense").select("a", "b")
-    dense = found.where("dense").select(F.col("a").alias("id")).distinct()
-    if found.where("dense").limit(1).count():
-        if own or bits != 64:
-            raise ValueError(f"a key holds over {dense_rows} fingerprints; give more keys or a larger dense_rows")
-        edges = edges.unionByName(ball_links(distinct.join(dense, "id"), max_distance))
+    dense = found.where("dense").select(F.col("a").alias("id"), F.col("b").alias("k"))
+    if dense.limit(1).count():
+        if bits == 64 and max_distance % 2 == 0 and not own:
+            more = ball_links(distinct.join(dense.select("id").distinct(), "id"), max_distance)
+        else:
+            more = links_under_keys(split_keys(dense, distinct, dense_rows), bits, max_distance, 1 << 40).select("a", "b")
+        edges = edges.unionByName(more)
     comp = connected_components(edges)
     of_fp = distinct.select("fp", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.select(key, "fp").join(of_fp, "fp").select(key, "fp", F.col("component_id").cast(fps.schema[key].dataType).alias("component_id"))

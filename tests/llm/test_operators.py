@@ -141,6 +141,19 @@ def test_simhash_links_are_exact(spark, dense_rows):
     assert [got[i] for i in range(len(fps))] == expected and [got[len(fps) + i] for i in range(3)] == expected[:3]
 
 
+@pytest.mark.parametrize("dense_rows", [50_000, 6])
+def test_wide_fingerprints_under_a_crowded_key(spark, dense_rows):
+    wide = [[int(x) for x in RNG.integers(-(2**63), 2**63, 8)] for _ in range(6)]
+    for f in list(wide):
+        for _ in range(5):
+            f = [x ^ (1 << int(b)) for x, b in zip(f, RNG.integers(0, 62, 8), strict=True)]
+            wide.append(f)
+    rows = [(i, f, [1, 2 + i % 2]) for i, f in enumerate(wide)]  # the first key holds all of them
+    got = {r.doc_id: r.component_id for r in simhash.link(spark.createDataFrame(rows, "doc_id long, fp array<long>, keys array<long>"), bits=512, max_distance=8, dense_rows=dense_rows).collect()}
+    as_int = [sum((x & (2**64 - 1)) << (64 * j) for j, x in enumerate(f)) for f in wide]
+    assert [got[i] for i in range(len(wide))] == hamming_components(as_int, 8)
+
+
 def test_fingerprints_of_short_and_null_texts(spark):
     got = [r.fp[0] for r in simhash.fingerprints(docs(spark, with_extras([None, "", " \t", "One two", "one TWO"]))).orderBy("doc_id").collect()]
     assert got[:3] == [0, 0, 0] and got[3] == got[4] != 0
