@@ -2,7 +2,8 @@
 
 Vectors are dealt into blocks by a hash of their id. A task holds one block's columns as lists sorted by value; a query walks
 every list from its favourable end in step, scores each vector it meets in full, and stops once the sum of the values at the current depth, times
-the query's own, can't reach the kth score. Blocks' results merge by score and id. Queries go to every block in rows of their own, so neither side is
+the query's own, can't reach the kth score. Where fewer rows are still unmet than the next step would read list entries, these rows are scored by random access
+instead, which is the cheaper access and as exact. Blocks' results merge by score and id. Queries go to every block in rows of their own, so neither side is
 ever gathered whole.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as candidates or queries; shorter
@@ -57,15 +58,16 @@ class SortedLists:
         rows, scores = np.zeros(0, np.int64), np.zeros(0, v.dtype)
         at, step = 0, first
         while at < n:
-            to = min(n, at + step) if len(used) else n
-            if len(used):
+            walk = len(used) > 0 and len(used) * step < n - np.count_nonzero(seen)
+            to = min(n, at + step) if walk else n
+            if walk:
                 up = self.order[used[q[used] > 0]][:, n - to : n - at]
                 down = self.order[used[q[used] < 0]][:, at:to]
                 met = np.zeros(n, bool)
                 met[up.ravel()] = True
                 met[down.ravel()] = True
                 met &= ~seen
-            else:
+            else:  # few rows are left, or the query is all zero and the lists say nothing
                 met = ~seen
             seen |= met
             new = np.flatnonzero(met)
