@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,14 +105,68 @@ def costs(t: DataFrame, events: int, c_fp: float = 0.05) -> DataFrame:
     return t.groupBy("theta").agg(F.round((F.sum(hit) + (F.lit(events) - F.count("*")) + F.sum(F.col("fp")) * c_fp) / events, SIX).alias("cost"))
 
 
-def bootstrap(df: DataFrame, by: str, replicates: int) -> DataFrame:
-    """Event resampling: each replicate draws as many events as there are, by a linear congruential index over their rank; precision of every draw. Events are aggregated first, so draws join rows per event, not per signal."""
-    tp = F.col("is_tp").cast("int")
-    e = df.groupBy(by).agg(F.sum(tp).alias("tp"), F.count("*").alias("n")).withColumn("i", F.row_number().over(Window.orderBy(by)) - 1)
+def event_draws(e: DataFrame, by: str, replicates: int) -> DataFrame:
+    """``e`` (a row per event) drawn with replacement: each replicate takes as many events as there are, by a linear congruential index over their rank."""
+    e = e.withColumn("i", F.row_number().over(Window.orderBy(by)) - 1)
     n = e.count()
-    draws = df.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    draws = e.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     draws = draws.withColumn("i", ((F.col("rep") * 7919 + F.col("slot") * 104729 + 12345) * 1103515245 % 2147483648 / 65536).cast("long") % n)
-    return draws.join(F.broadcast(e) if n <= 10_000 else e, "i").groupBy("rep").agg(F.round(F.sum("tp") / F.sum("n"), SIX).alias("prec"))
+    return draws.join(F.broadcast(e) if n <= 10_000 else e, "i")
+
+
+def bootstrap(df: DataFrame, by: str, replicates: int, flag: str = "is_tp", name: str = "prec") -> DataFrame:
+    """Event resampling of the share of ``flag``. Events are aggregated first, so draws join rows per event, not per signal."""
+    e = df.groupBy(by).agg(F.sum(F.col(flag).cast("int")).alias("k"), F.count("*").alias("n"))
+    return event_draws(e, by, replicates).groupBy("rep").agg(F.round(F.sum("k") / F.sum("n"), SIX).alias(name))
+
+
+def paired_bootstrap(df: DataFrame, by: str, arm: str, a: str, b: str, replicates: int) -> DataFrame:
+    """Event resampling of two arms by the same draws: precision of each and the difference."""
+    n = lambda x, c: F.sum(F.when(F.col(arm) == x, c).otherwise(0))
+    tp = F.col("is_tp").cast("int")
+    e = df.groupBy(by).agg(n(a, tp).alias("tp_a"), n(b, tp).alias("tp_b"), n(a, F.lit(1)).alias("n_a"), n(b, F.lit(1)).alias("n_b"))
+    p = {x: F.sum(f"tp_{x}") / F.nullif(F.sum(f"n_{x}"), F.lit(0)) for x in "ab"}
+    return event_draws(e, by, replicates).groupBy("rep").agg(F.round(p["a"], SIX).alias("prec_a"), F.round(p["b"], SIX).alias("prec_b"), F.round(p["b"] - p["a"], SIX).alias("delta"))
+
+
+def kde(df: DataFrame, value: str, grid: list[int], least_width: float = 5.0) -> DataFrame:
+    """Gaussian density of ``value`` at the grid's points, width max(1.06 s n^-0.2, ``least_width``). Distinct values are counted first, so the grid multiplies counts."""
+    c = df.groupBy(value).agg(F.count("*").alias("n"))
+    s = df.agg(F.count("*").alias("all"), F.greatest(1.06 * F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2)), F.lit(least_width)).alias("h"))
+    x = c.join(s).select("*", F.explode(F.array(*map(F.lit, grid))).alias("x"))
+    part = F.col("n") * F.exp(-0.5 * F.pow((F.col("x") - F.col(value)) / F.col("h"), F.lit(2)))
+    return x.groupBy("x").agg(F.round(F.sum(part) / F.first(F.col("all") * F.col("h")) / (2 * math.pi) ** 0.5, 8).alias("density"))
+
+
+def at_k(df: DataFrame, score: str, key: str, ks: list[int]) -> DataFrame:
+    """Precision and recall among the k highest scores, ties by key: the top rows are a sorted limit, at most max(ks)."""
+    top = df.select("is_tp", score, key).orderBy(F.col(score).desc(), key).limit(max(ks))
+    ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.col(score).desc(), key)))
+    hits = ranked.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.count_if((F.col("rk") <= k) & F.col("is_tp")).alias("tp")) for k in ks]).alias("x")).select(F.inline("x"))
+    return hits.join(df.agg(F.count_if("is_tp").alias("all"))).select("k", "tp", F.round(F.col("tp") / F.col("k"), SIX).alias("prec"), F.round(F.col("tp") / F.nullif("all", F.lit(0)), SIX).alias("recall"))
+
+
+def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
+    """Sum of precision times gained recall over the distinct scores from high to low, ties together."""
+    c = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
+    down = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row per distinct score
+    c = c.select("p", (F.sum("p").over(down) / F.sum("n").over(down)).alias("prec"))
+    return c.agg(F.sum("p").alias("n_pos"), F.round(F.sum(F.col("p") * F.col("prec")) / F.nullif(F.sum("p"), F.lit(0)), SIX).alias("ap"))
+
+
+def drift(df: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """Gap of each feature's means between the two groups in pooled population standard deviations, and whether it is over 0.5. All features in one pass."""
+    one = lambda c: F.abs(F.avg(F.when(F.col(group), F.col(c))) - F.avg(F.when(~F.col(group), F.col(c)))) / F.nullif(F.stddev_pop(c), F.lit(0.0))
+    x = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), one(c).alias("gap")) for c in features]).alias("x")).select(F.inline("x"))
+    return x.select("feature", F.round("gap", SIX).alias("gap"), (F.col("gap") > 0.5).alias("flagged"))
+
+
+def best_by_cost(t: DataFrame, events: int, prices: list[float]) -> DataFrame:
+    """Cheapest threshold at each price of a false alarm, from events' own rows of ``thresholds``; the lower one on ties."""
+    hit = F.when(F.col("tp") > 0, 1 - mitigation(F.col("mean_lead"))).otherwise(1.0)
+    c = t.groupBy("theta").agg((F.sum(hit) + F.lit(events) - F.count("*")).alias("fixed"), F.sum("fp").alias("fp"))
+    c = c.select("theta", "fixed", "fp", F.explode(F.array(*map(F.lit, prices))).alias("price")).withColumn("cost", F.round((F.col("fixed") + F.col("fp") * F.col("price")) / events, SIX))
+    return c.groupBy("price").agg(F.min(F.struct("cost", "theta")).alias("m")).select("price", "m.theta", "m.cost")
 
 
 def history(df: DataFrame, key: str, order: list[str]) -> DataFrame:

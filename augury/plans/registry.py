@@ -344,6 +344,68 @@ def bootstrap_precision(spark, d):
     return A.bootstrap(A.pre_onset(leads(spark, d)), "event", 200)
 
 
+DRAWN = f"(select rep, {LCG} as i from range(200) a(rep), range(17) b(slot)) join e using (i) group by rep"
+
+
+@query(f"with {LEADS}, e as (select sum(cast(forward as int)) as k, count(*) as n, row_number() over (order by event) - 1 as i from leads where -lead between 1 and 60 group by event) select rep, round(sum(k) / sum(n), 6) as beta0 from {DRAWN}")
+def bootstrap_beta0(spark, d):
+    return A.bootstrap(A.post_onset(leads(spark, d), 60), "event", 200, "forward", "beta0")
+
+
+@query(f"with {LEADS}, e as (select count(*) filter (is_tp and arm = 'F') as ta, count(*) filter (arm = 'F') as na, count(*) filter (is_tp and arm = 'O') as tb, count(*) filter (arm = 'O') as nb, row_number() over (order by event) - 1 as i from leads where lead between 1 and 180 group by event) select rep, round(sum(ta) / sum(na), 6) as prec_a, round(sum(tb) / sum(nb), 6) as prec_b, round(sum(tb) / sum(nb) - sum(ta) / sum(na), 6) as delta from {DRAWN}")
+def bootstrap_paired(spark, d):
+    return A.paired_bootstrap(A.pre_onset(leads(spark, d)), "event", "arm", "F", "O", 200)
+
+
+@query(f"with {LEADS}, v as (select lead from leads where lead between 1 and 180 and is_tp), s as (select count(*) as n, greatest(1.06 * stddev_samp(lead) * pow(count(*), -0.2), 5.0) as h from v) select cast(x as int) as x, round(sum(exp(-0.5 * pow((x - lead) / h, 2))) / any_value(n * h) / sqrt(2 * pi()), 8) as density from v, s, range(0, 181, 15) r(x) group by x")
+def lead_kde(spark, d):
+    return A.kde(A.pre_onset(leads(spark, d)).where("is_tp"), "lead", list(range(0, 181, 15)))
+
+
+@query(f"with {LEADS}, r as (select is_tp, row_number() over (order by conf desc, sid) as rk from leads where lead between 1 and 180) select k, count(*) filter (is_tp and rk <= k) as tp, round(count(*) filter (is_tp and rk <= k) / k, 6) as prec, round(count(*) filter (is_tp and rk <= k) / count(*) filter (is_tp), 6) as recall from r, (select unnest([10, 50, 100]) as k) group by k")
+def precision_at_k(spark, d):
+    return A.at_k(A.pre_onset(leads(spark, d)), "conf", "sid", [10, 50, 100])
+
+
+@query(f"with {LEADS}, c as (select conf, count(*) as n, count(*) filter (is_tp) as p from leads where lead between 1 and 180 group by conf), w as (select p, sum(p) over (order by conf desc) / sum(n) over (order by conf desc) as prec from c) select cast(sum(p) as bigint) as n_pos, round(sum(p * prec) / sum(p), 6) as ap from w")
+def average_precision(spark, d):
+    return A.average_precision(A.pre_onset(leads(spark, d)), "conf", "is_tp")
+
+
+@query(f"with {LEADS}, p as (select * from leads where lead between 1 and 180), x as (" + " union all ".join(f"select '{c}' as feature, abs(avg({c}) filter (is_tp) - avg({c}) filter (not is_tp)) / stddev_pop({c}) as gap from p" for c in ("conf", "g", "lead")) + ") select feature, round(gap, 6) as gap, gap > 0.5 as flagged from x")
+def feature_drift(spark, d):
+    return A.drift(A.pre_onset(leads(spark, d)), "is_tp", ["conf", "g", "lead"])
+
+
+@query(f"with {LEADS}, c as (select theta, sum(case when tp > 0 then 1 - 0.8 * (1 - exp(-greatest(mean_lead, 0) / 14.0)) else 1.0 end) + 17 - count(*) as fixed, sum(fp) as fp from ({CURVE.format(by='event,')}) group by theta), p as (select price, theta, round((fixed + fp * price) / 17, 6) as cost from c, (select unnest([0.01, 0.02, 0.05, 0.1, 0.2]::double[]) as price)) select price, theta, cost from p qualify row_number() over (partition by price order by cost, theta) = 1")
+def cost_sensitivity(spark, d):
+    """Cheapest threshold at each price of a false alarm."""
+    return A.best_by_cost(A.thresholds(A.pre_onset(leads(spark, d)), GRID, ["event"]), 17, [0.01, 0.02, 0.05, 0.1, 0.2])
+
+
+@query(f"with {LEADS} select {STRATUM} case when conf >= 0.8 then 'high' when conf >= 0.5 then 'mid' else 'low' end as band, count(*) as n, round(avg(conf), 6) as mean_conf, round(avg(cast(is_tp as double)), 6) as mean_tp from leads where lead between 1 and 180 group by all")
+def prob_warning(spark, d):
+    """Chance of a true positive by confidence band and lead stratum, beside the mean confidence."""
+    band = F.when(F.col("conf") >= 0.8, "high").when(F.col("conf") >= 0.5, "mid").otherwise("low")
+    return A.pre_onset(leads(spark, d)).groupBy(X.stratum(F.col("lead")).alias("stratum"), band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.round(A.share(F.col("is_tp")), 6).alias("mean_tp"))
+
+
+@query(f"with {LEADS} select case when lead > 0 then case when is_tp then 'pre_tp' else 'pre_fp' end else 'post_onset' end as pool, cast(lead > 0 and is_tp as int) as y, count(*) as n from leads where forward and lead between -60 and 180 and lead <> 0 group by all")
+def label_table(spark, d):
+    """Forward signals as training pools: true and false ones before the onset, and those after it."""
+    s = leads(spark, d).where("forward")
+    pre = A.pre_onset(s).select(F.when(F.col("is_tp"), "pre_tp").otherwise("pre_fp").alias("pool"), F.col("is_tp").cast("int").alias("y"))
+    return pre.unionByName(A.post_onset(s, 60).select(F.lit("post_onset").alias("pool"), F.lit(0).alias("y"))).groupBy("pool", "y").agg(F.count("*").alias("n"))
+
+
+@query(f"with {LEADS}, p as (select * from leads where -lead between 1 and 60) select 'before' as state, count(*) as n, round(avg(cast(forward as double)), 6) as beta0 from p union all select 'after', count(*), round(avg(cast(forward as double)), 6) from p where event <> 3")
+def retraction(spark, d):
+    """Share of forward labels after the onset with and without a retracted event, from one pass."""
+    p, kept = A.post_onset(leads(spark, d), 60), F.col("event") != 3
+    x = p.agg(F.array(*[F.struct(F.lit(s).alias("state"), F.count_if(c).alias("n"), F.round(F.avg(F.when(c, F.col("forward").cast("double"))), 6).alias("beta0")) for s, c in (("before", F.lit(True)), ("after", kept))]).alias("x"))
+    return x.select(F.inline("x"))
+
+
 @query(f"with {LEADS}, u as (select event, sid, day, min(conf) as conf from leads group by all) select event, sid, count(*) over w as prior_count, coalesce(date_diff('day', lag(day) over (partition by event order by day, sid), day), 0) as days_since, conf, day, round(coalesce(avg(conf) over w, 0), 6) as prior_conf from u window w as (partition by event order by day, sid rows between unbounded preceding and 1 preceding)")
 def prior_history_features(spark, d):
     u = leads(spark, d).groupBy("event", "sid", "day").agg(F.min("conf").alias("conf"))
