@@ -16,6 +16,10 @@ per joined row comes out. A key with more than ``dense_rows`` distinct fingerpri
 each fingerprint meets all values within ``max_distance / 2`` bits of it, and two fingerprints link if they share such a value. That is exact and needs
 only a minimum per value, which partial aggregates compute whatever the group's size. Wider fingerprints go by ``split_keys``: the key's rows are dealt
 into parts, and every two parts of it meet under a key of their own, so all of the key's pairs are still searched and no task holds more than about ``dense_rows`` rows.
+
+``similar`` links by the shingle sets themselves: fingerprints only find candidates, within a wider distance, and a pair links if the Jaccard similarity of its sets, computed
+exactly, reaches ``least``. Of each candidate component first all members meet one of them (``leader``), a join that the adaptive planner splits; those too far from it meet each other
+and the members that may link to them by the triangle inequality of Jaccard distance, in runs of bounded size.
 """
 
 from __future__ import annotations
@@ -169,6 +173,27 @@ class KeySearch:
         return np.concatenate(a), np.concatenate(b), np.concatenate(dense)
 
 
+def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """One link per set that joins a component of sets (sorted, distinct, not empty) with Jaccard similarity ``least`` or more."""
+    size = np.array([len(x) for x in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    rest, links, held = np.arange(1, len(sets)), [], np.zeros(len(values), np.int64)
+    todo = [0]
+    while len(rest):
+        one = todo.pop()
+        held[:] = 0
+        held[place[start[one] : start[one] + size[one]]] = 1
+        both = np.add.reduceat(held[place], start)[rest]
+        near = both / (size[rest] + size[one] - both) >= least
+        links += [(one, int(x)) for x in rest[near]]
+        todo += rest[near].tolist()
+        rest = rest[~near]
+        if not todo and len(rest):
+            todo, rest = [int(rest[0])], rest[1:]
+    return links
+
+
 def links_under_keys(rows: DataFrame, bits: int, max_distance: int, dense_rows: int, partitions: int | None = None) -> DataFrame:
     """``rows`` (id long >= 0, fp array<long>, keys array<long>) to (a, b, dense): one shuffle by key, a sort, and a search in each key's run."""
     spark = rows.sparkSession
@@ -235,6 +260,20 @@ def ball_links(fps: DataFrame, max_distance: int) -> DataFrame:
     return ball.join(least, "v").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
 
 
+def candidate_edges(distinct: DataFrame, rows: DataFrame, bits: int, max_distance: int, dense_rows: int, balls: bool = False) -> DataFrame:
+    """(a, b) links between the ids of ``distinct`` (id, fp) whose fingerprints are within ``max_distance`` under a key of ``rows`` (id, fp, keys)."""
+    found = stored(links_under_keys(rows, bits, max_distance, dense_rows), "links")
+    edges = found.where("not dense").select("a", "b")
+    dense = found.where("dense").select(F.col("a").alias("id"), F.col("b").alias("k"))
+    if dense.limit(1).count():
+        if balls:
+            more = ball_links(distinct.join(dense.select("id").distinct(), "id"), max_distance)
+        else:
+            more = links_under_keys(split_keys(dense, distinct, dense_rows), bits, max_distance, 1 << 40).select("a", "b")
+        edges = edges.unionByName(more)
+    return edges
+
+
 def link(fps: DataFrame, *, key: str = "doc_id", bits: int = 64, max_distance: int = 4, dense_rows: int = 50_000) -> DataFrame:
     """(key, fp[, keys]) to (key, fp, component_id): the smallest key reachable over fingerprints within ``max_distance`` bits, itself included.
 
@@ -245,15 +284,78 @@ def link(fps: DataFrame, *, key: str = "doc_id", bits: int = 64, max_distance: i
     own = "keys" in fps.columns
     distinct = fps.groupBy("fp").agg(F.min(key).cast("long").alias("id"), *([F.min("keys").alias("keys")] if own else []))
     rows = distinct if own else distinct.withColumn("keys", block_keys(F.col("fp")[0], max_distance, bits))
-    found = stored(links_under_keys(rows, bits, max_distance, dense_rows), "links")
-    edges = found.where("not dense").select("a", "b")
-    dense = found.where("dense").select(F.col("a").alias("id"), F.col("b").alias("k"))
-    if dense.limit(1).count():
-        if bits == 64 and max_distance % 2 == 0 and not own:
-            more = ball_links(distinct.join(dense.select("id").distinct(), "id"), max_distance)
-        else:
-            more = links_under_keys(split_keys(dense, distinct, dense_rows), bits, max_distance, 1 << 40).select("a", "b")
-        edges = edges.unionByName(more)
+    edges = candidate_edges(distinct, rows, bits, max_distance, dense_rows, bits == 64 and max_distance % 2 == 0 and not own)
     comp = connected_components(edges)
     of_fp = distinct.select("fp", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.select(key, "fp").join(of_fp, "fp").select(key, "fp", F.col("component_id").cast(fps.schema[key].dataType).alias("component_id"))
+
+
+def shingle_sets(docs: DataFrame, *, text: str, keep: tuple[str, ...], words: int, bits: int = 0, tables: int = 0) -> DataFrame:
+    """Columns ``keep`` with ``id``, a 64-bit digest of the set of distinct shingles, and with ``bits`` the set's fingerprint and keys, otherwise the sorted set as ``shingles``."""
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("id", long), *(T.StructField(c, longs) for c in (("fp", "keys") if bits else ("shingles",)))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "__text"):
+            ids, out = [], []
+            for t in texts(b, "__text"):
+                h = np.unique(shingle_hashes(t, words))
+                ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                out.append((majority(h, bits).view(np.int64), shingle_keys(h, tables).view(np.int64)) if bits else (h.view(np.int64),))
+            columns = [pa.array(x, pa.list_(pa.int64())) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.array(ids, np.uint64).view(np.int64)), *columns], names=schema.names)
+
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+
+
+def verified(members: DataFrame, least: float, run_shingles: int) -> DataFrame:
+    """``members`` (component, id, shingles), a component's smallest id being its name, to links (a, b) that join just those whose sets reach ``least`` directly or by way of others."""
+    leader = members.where("id = component").select("component", F.col("shingles").alias("__of"))
+    both, size = F.size(F.array_intersect("shingles", "__of")), F.size("shingles")
+    met = members.where("id <> component").join(leader, "component").select("component", "id", both.alias("both"), size.alias("n"), F.size("__of").alias("m"))
+    met = stored(met.select("component", "id", "n", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("s")), "met")
+    star = met.where(F.col("s") >= least).select(F.col("component").alias("a"), F.col("id").alias("b"))
+    far = met.groupBy("component").agg(F.max(F.when(F.col("s") < least, F.col("s"))).alias("most")).where("most is not null")
+    left = met.join(far, "component").where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)  # nearer to the leader: too far from all that are not linked to it
+    sizes = left.groupBy("component").agg(F.ceil(2 * F.sum("n") / run_shingles).cast("int").alias("parts"), F.count("*").alias("rows")).where("rows > 1")
+    parts = F.when(F.col("parts") > 2, F.col("parts")).otherwise(1)
+    left = left.join(sizes, "component").select("component", "id", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "parts").cast("int"))
+    left = left.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("component", F.least("own", j), F.greatest("own", j)))).alias("k"))
+    left = members.select("id", "shingles").join(left, "id").select("k", "id", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def out():
+            pairs = set_links(sets, least) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for i, (k, id_) in enumerate(zip(batch.column("k").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                if k != key:
+                    yield out()
+                    key, ids, sets = k, [], []
+                ids.append(id_)
+                sets.append(batch.column("shingles")[i].values.to_numpy(zero_copy_only=False))
+        yield out()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return star.unionByName(left.repartition(n, "k").sortWithinPartitions("k", "id").mapInArrow(run, "a long, b long"))
+
+
+def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = 512, max_distance: int = 140, tables: int = 8, dense_rows: int = 50_000, run_shingles: int = 1 << 18) -> DataFrame:
+    """(key, hash, first): each row's key and XXH64 of its text, and whether it is the first by both of its component, whose links are pairs of Jaccard similarity ``least`` or more.
+
+    Rows with equal shingle sets, wordless ones among them, are one node. Null keys stay out. An empty table gives an empty result.
+    """
+    docs = docs.where(F.col(key).isNotNull()).select(key, F.coalesce(text, F.lit("")).alias(text)).withColumn("hash", F.xxhash64(text))
+    rows = stored(shingle_sets(docs, text=text, keep=(key, "hash"), words=words, bits=bits, tables=tables), "sets")
+    distinct = rows.groupBy("id").agg(F.min(F.struct("fp", "keys")).alias("x"), F.min(F.struct(key, "hash")).alias("y")).select("id", "x.fp", "x.keys", "y")
+    candidates = connected_components(candidate_edges(distinct, distinct.select("id", "fp", "keys"), bits, max_distance, dense_rows))
+    candidates = candidates.withColumnRenamed("node", "id").join(distinct.select("id", f"y.{key}", "y.hash"), "id").select(key, "hash", "component")
+    members = docs.join(candidates, [key, "hash"]).select("component", text)
+    members = stored(shingle_sets(members, text=text, keep=("component",), words=words).dropDuplicates(["id"]), "members")
+    comp = connected_components(verified(members, least, run_shingles)).withColumnRenamed("node", "id")
+    of = rows.select(key, "hash", "id").join(comp, "id", "left").select(key, "hash", F.coalesce("component", "id").alias("component"))
+    first = of.groupBy("component").agg(F.min(F.struct(key, "hash")).alias("y"))
+    return of.distinct().join(first, "component").select(key, "hash", (F.struct(key, "hash") == F.col("y")).alias("first"))

@@ -168,6 +168,41 @@ def test_wide_fingerprints_under_a_crowded_key(spark, dense_rows):
     assert [got[i] for i in range(len(wide))] == hamming_components(as_int, 8)
 
 
+def jaccard_firsts(texts, least=0.8):
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+            comp = [comp[i] if c == comp[j] else c for c in comp] if comp[i] < comp[j] else [comp[j] if c == comp[i] else c for c in comp]
+    return {i for i, c in enumerate(comp) if i == c}
+
+
+@pytest.mark.parametrize("run_shingles", [1 << 18, 300])
+def test_similar_links_by_the_sets_themselves(spark, run_shingles):
+    texts = [None, "", "one two", "One  two"]
+    for n_changed in (1, 2, 3, 4, 5):  # Jaccard similarity from about 0.9 down to 0.6
+        for _ in range(8):
+            w = prose(90).split()
+            texts.append(" ".join(w))
+            for at in RNG.choice(np.arange(5, 85, 8), n_changed, replace=False):
+                w[at] = "other"
+            texts.append(" ".join(w))
+    w = prose(90).split()
+    for i in range(12):  # a chain whose ends are far apart
+        w[6 * i + 5] = f"link{i}"
+        texts.append(" ".join(w))
+    texts += texts[4:8]
+    got = simhash.similar(docs(spark, with_extras(texts)), run_shingles=run_shingles).where("first").collect()
+    assert {r.doc_id for r in got} == jaccard_firsts(texts) and len(got) == len({r.doc_id for r in got})
+    assert simhash.similar(docs(spark, [])).count() == 0
+
+
+def test_similar_tells_rows_of_one_id_apart(spark):
+    a, b = prose(40), prose(40)
+    got = simhash.similar(docs(spark, [(1, a, "", ""), (1, b, "", ""), (2, b, "", ""), (None, b, "", "")])).collect()
+    assert sorted((r.doc_id, r.first) for r in got) == [(1, True), (1, True), (2, False)]
+
+
 def test_fingerprints_of_short_and_null_texts(spark):
     got = [r.fp[0] for r in simhash.fingerprints(docs(spark, with_extras([None, "", " \t", "One two", "one TWO"]))).orderBy("doc_id").collect()]
     assert got[:3] == [0, 0, 0] and got[3] == got[4] != 0
