@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm import bpe, decontaminate, html, lines, quality, secrets, simhash, suffix, topk, toxicity
+from augury.llm import bpe, decontaminate, html, lines, oracles, quality, secrets, simhash, suffix, topk, toxicity
 from augury.llm.common import read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -64,4 +64,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_suffix, op4_html, op5_toxicity, op6_secrets, op7_quality, op8_lines, op9_simhash, op10_decontaminate)}
-SQL: dict[str, str] = {}
+SQL = {"op8_lines": oracles.LINES}
