@@ -2,22 +2,27 @@
 
 The suffixes that can matter are found, range-partitioned by sampled splitters, sorted inside their buckets, and compared with their neighbours,
 also across bucket boundaries. A full suffix array has one entry per byte; sending each with its leading bytes would move many times the input. So
-two sorts share the work, and both are exact:
+three sorts share the work, each over the suffixes that the one before couldn't settle, and all are exact:
 
-1. *Runs.* Each window of ``length`` bytes has a least ``seed``-byte string (by hash) inside it. Neighbouring windows with the same least string form a run: about one
-   per hundred bytes. Equal windows lie in runs with equal least strings. Runs are ranged and sorted by least string and by the hash of all their bytes. A run equal to a neighbour is
-   repeated as a whole; one that shares only the least string goes to the second sort; all others can't be repeated.
-2. *Suffixes.* Every window start of the runs left over is a suffix entry: its two leading bytes, then the hash of all its ``length`` bytes (the later keys of a multikey sort).
-   Entries are ranged and sorted by these and by place, so that a string with very many places is spread over several buckets; entries equal to a
-   neighbour are repeated. The first and last entries of the buckets meet in a small second step.
+1. *Runs.* Each window has a least ``seed``-byte string (by hash, the leftmost of equals) among its first ``passage`` bytes, its anchor. Neighbouring windows with the same anchor form a run.
+   Equal windows have equal anchors at equal distances. Runs are ranged and sorted by anchor, then by the hash of all their bytes. A run equal to a neighbour is
+   repeated as a whole; one that shares only the anchor goes on; all others can't be repeated.
+2. *Blocks.* The windows of such a run are cut, by their distance to the anchor, into blocks of 16. A block's entry has the leading bytes and the hash of the string that all of its
+   windows hold, and the hash of all its bytes. Sorted by these, a block whose common string is alone holds no repeat, one whose bytes equal a neighbour's is repeated, and the rest goes on.
+3. *Suffixes.* Every window start of the blocks left over is a suffix entry: its leading bytes, then the hash of all its bytes, the later keys of a multikey sort.
+   The first and last entries of the buckets meet in a small further step.
 
-Strings count as equal if their leading bytes and a polynomial hash modulo 2^64 of the whole agree; no text is cut or sampled.
+All sorts end with the place, so a string with very many places is spread over several buckets. Strings count as equal if their anchors (or leading bytes and common strings) and a
+polynomial hash modulo 2^64 of all their bytes agree, two hashes of 64 bits; no text is cut or sampled.
+
+The same sorts also settle ``passage``-byte strings, of which ``n_passages`` reports the maximal runs with over ``passage_words`` words; they are reported, not removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,36 +86,85 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(data: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(least string's hash, hash of all bytes, first window, last window, whether the least string occurs more than once in it) of each run."""
-    hashed = Hashed(data)
-    grams = hashed.all_of(seed)
-    width = length - seed + 1
-    least = sliding_min(grams, width)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    last = np.concatenate((first[1:], [len(least)])) - 1
-    many = np.empty(len(first), bool)
-    span = np.arange(width)
-    for a in range(0, len(first), 4096):
-        f, e = first[a : a + 4096], last[a : a + 4096]
-        many[a : a + 4096] = f + grams[f[:, None] + span].argmin(1) != e + width - 1 - grams[e[:, None] + span[::-1]].argmin(1)
-    whole = mixed(hashed.of(first, last + length) + (last - first).astype(np.uint64))
-    return least[first].view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32), many
+BLOCK = 16
+C = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03)]
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
+
+
+def counted(h: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Hashes with small numbers mixed in."""
+    for c, x in zip(C, more, strict=False):
+        h = h + c * x.astype(np.uint64)
+    return signed(mixed(h))
 
 
-def arrays(schema: str | pa.Schema, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+def schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in text.split(", "))])
 
 
-RUN = pa.schema([("least", pa.int64()), ("whole", pa.int64()), ("k1", pa.int32()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("many", pa.bool_())])
-FOUND = pa.schema([("kind", pa.int32()), ("k1", pa.int32()), ("k2", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32())])
-ENTRY = pa.schema([("lead", pa.int32()), ("whole", pa.int64()), ("k1", pa.int32()), ("k2", pa.int64()), ("p", pa.int32()), ("own", pa.bool_())])
-MARKED = pa.schema([*ENTRY, ("same", pa.bool_()), ("edge", pa.bool_())])
-REPEATED, ASK, HELP = 0, 1, 2
+# Numbers of windows (n) come by length: a for ``passage``, b for ``length``. States: 0 settled as single, 1 repeated, 2 to be asked, 3 repeated and needed as a partner of others.
+RUN = "k1 int, k2 long, p int, na int, nb int, d int, least long, ua long, ub long, done boolean, settled boolean"
+FOUND = "k1 int, k2 long, p int, na int, nb int, d int, sa int, sb int"
+BLOCKS = "lead int, common long, whole long, k1 int, k2 long, p int, n int, b boolean, own boolean"
+HELD = "k1 int, k2 long, p int, n int, b boolean, state int, own boolean"
+ENTRY = "lead int, whole long, k1 int, k2 long, p int, b boolean, own boolean"
+MARKED = ENTRY + ", same boolean, edge boolean"
 
 
-def ddl(s: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {({pa.int64(): 'long', pa.int32(): 'int', pa.bool_(): 'boolean'})[f.type]}" for f in s)
+def rows_of(columns: str, *cols) -> pa.RecordBatch:
+    s = schema(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, s, strict=True)], schema=s)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], least_bytes: int, overlap: int, most: int = 2 << 20) -> Iterator[list[tuple]]:
+    """Groups of (bytes, k1, k2, offset) of about ``most`` bytes; a long text comes in several pieces that overlap."""
+    group, size = [], 0
+    for b in small_batches(batches, "data"):
+        for d, k1, k2 in zip(*(b.column(c).to_pylist() for c in ("data", "k1", "k2")), strict=True):
+            for at in range(0, max(1, len(d) - least_bytes + 1), most) if len(d) >= least_bytes else ():
+                group.append((d[at : at + most + overlap - 1], k1, k2, at))
+                size += len(group[-1][0])
+                if size >= most:
+                    yield group
+                    group, size = [], 0
+    if group:
+        yield group
+
+
+def runs_of(group: list[tuple], passage: int, length: int, seed: int, most: int = 2 << 20) -> pa.RecordBatch:
+    """``RUN`` rows of a group of pieces. Runs that repeat another one of the group are settled at once; one of each kind stays to meet other groups'."""
+    data = b"".join(g[0] for g in group)
+    size = np.array([len(g[0]) for g in group])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    hashed = Hashed(data)
+    grams = hashed.all_of(seed)
+    mask = np.uint64((1 << 24) - 1)
+    least = sliding_min((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), passage - seed + 1)
+    windows = {n: np.minimum(np.maximum(size - n + 1, 0), most) for n in (passage, length)}
+    p = np.concatenate([np.arange(s, s + n) for s, n in zip(start.tolist(), windows[passage].tolist(), strict=True)])
+    anchor = (least[p] & mask).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    na = np.diff(np.concatenate((first, [len(p)])))
+    p, anchor = p[first], anchor[first]
+    piece = np.searchsorted(start, p, "right") - 1
+    nb = np.clip(start[piece] + windows[length][piece] - p, 0, na)
+    ua = counted(hashed.of(p, p + na - 1 + passage), na)
+    ub = np.where(nb > 0, counted(hashed.of(p, np.where(nb > 0, p + nb - 1 + length, p)), nb), 0)
+    key = signed(grams[anchor])
+    order = np.lexsort((ub, ua, key))
+    again = np.zeros(len(p), bool)
+    again[1:] = (key[order][1:] == key[order][:-1]) & (ua[order][1:] == ua[order][:-1]) & (ub[order][1:] == ub[order][:-1])
+    done = again.copy()
+    done[:-1] |= again[1:]
+    settled, is_done = np.empty(len(p), bool), np.empty(len(p), bool)
+    settled[order], is_done[order] = again, done
+    k1, k2, base = (np.array([g[i] for g in group]) for i in (1, 2, 3))
+    zero = lambda x: np.where(settled, 0, x)
+    return rows_of(RUN, k1[piece], k2[piece], p - start[piece] + base[piece], na, nb, anchor - p, zero(key), zero(ua), zero(ub), is_done, settled)
 
 
 def numpy_of(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -118,130 +172,189 @@ def numpy_of(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of sorted rows: each batch's columns, with the row before and the row after it, None at the partition's ends."""
-    before: list[np.ndarray] | None = None
-    held: list[np.ndarray] | None = None
+    """Of sorted rows: each batch's columns by name, with the row before and the row after it, None at the partition's ends."""
+    before = held = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = numpy_of(b)
+        cols = dict(zip(b.schema.names, numpy_of(b), strict=True))
         if held is not None:
-            yield held, before, [c[:1] for c in cols]
-            before = [c[-1:] for c in held]
+            yield held, before, {n: c[:1] for n, c in cols.items()}
+            before = {n: c[-1:] for n, c in held.items()}
         held = cols
     if held is not None:
         yield held, before, None
 
 
-def beside(col: int, rows: list[np.ndarray], before, after, unknown: bool) -> tuple[np.ndarray, np.ndarray]:
+def beside(name: str, rows: dict, before, after, unknown: bool) -> tuple[np.ndarray, np.ndarray]:
     """Whether each row's value equals the one before and the one after; ``unknown`` at the ends of the partition."""
-    x = rows[col]
+    x = rows[name]
     prev, nxt = np.empty(len(x), bool), np.empty(len(x), bool)
     prev[1:] = nxt[:-1] = x[1:] == x[:-1]
-    prev[0] = unknown if before is None else before[col][0] == x[0]
-    nxt[-1] = unknown if after is None else after[col][0] == x[-1]
+    prev[0] = unknown if before is None else before[name][0] == x[0]
+    nxt[-1] = unknown if after is None else after[name][0] == x[-1]
     return prev, nxt
 
 
+def states(near: tuple, equal: tuple, known: np.ndarray) -> np.ndarray:
+    """A state for each row from whether its neighbours may share a window with it (``near``) and whether they are ``equal`` to it; ``known``: repeated anyway."""
+    same = equal[0] | equal[1] | known
+    edge = (~equal[0] & near[0]) | (~equal[1] & near[1])
+    return np.where(same, np.where(edge, 3, 1), np.where(near[0] | near[1], 2, 0)).astype(np.int32)
+
+
 def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, before, after in with_neighbours(batches):
-        _, _, k1, k2, p0, p1, many = rows
-        least_prev, least_next = beside(0, rows, before, after, True)
-        whole_prev, whole_next = beside(1, rows, before, after, False)
-        whole_prev &= least_prev
-        whole_next &= least_next
-        equal = whole_prev | whole_next
-        help_ = equal & ((~whole_prev & least_prev) | (~whole_next & least_next))
-        ask = ~equal & (least_prev | least_next | many)
-        for kind, at in ((REPEATED, equal), (ASK, ask), (HELP, help_)):
-            if at.any():
-                yield arrays(FOUND, np.full(int(at.sum()), kind), k1[at], k2[at], p0[at], p1[at])
+        near, a, b = beside("least", rows, before, after, True), beside("ua", rows, before, after, False), beside("ub", rows, before, after, False)
+        a = (a[0] & near[0], a[1] & near[1])
+        b = (b[0] & a[0], b[1] & a[1])
+        sa, sb = states(near, a, rows["done"]), np.where(rows["nb"] > 0, states(near, b, rows["done"]), 0)
+        at = (sa > 0) | (sb > 0)
+        if at.any():
+            yield rows_of(FOUND, *(rows[c][at] for c in ("k1", "k2", "p", "na", "nb", "d")), sa[at], sb[at])
+
+
+def lists(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """Offsets of a column of lists of structs, and the structs' fields."""
+    flat = column.flatten()
+    cut = np.concatenate(([0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))).tolist()
+    return cut, [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
+
+
+def leading(octets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The four bytes from each place, as a number of their order."""
+    return sum(octets[at + i].astype(np.int64) << (24 - 8 * i) for i in range(4)).astype(np.int64) - (1 << 31)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], passage: int, length: int) -> Iterator[pa.RecordBatch]:
+    """``BLOCKS`` rows of texts (data, k1, k2, wanted: p, na, nb, d, sa, sb)."""
+    for batch in small_batches(batches, "data"):
+        cut, (p, na, nb, d, sa, sb) = lists(batch.column("wanted"))
+        for i, (text, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "k1", "k2")), strict=True)):
+            hashed, octets, own = Hashed(text), np.frombuffer(text, np.uint8), slice(cut[i], cut[i + 1])
+            for size, n, state, is_b in ((passage, na, sa, False), (length, nb, sb, True)):
+                at = np.flatnonzero(state[own] >= 2) + cut[i]
+                for lo in range(0, len(at), 1 << 14):
+                    x = at[lo : lo + (1 << 14)]
+                    first, last = d[x] // BLOCK, (d[x] - n[x] + 1) // BLOCK  # distances to the anchor fall along the run
+                    many = first - last + 1
+                    x = np.repeat(x, many)
+                    j = np.repeat(first, many) - (np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many))
+                    far, close = np.minimum(j * BLOCK + BLOCK - 1, d[x]), np.maximum(j * BLOCK, d[x] - n[x] + 1)
+                    anchor = p[x].astype(np.int64) + d[x]
+                    start = anchor - j * BLOCK
+                    common = counted(hashed.of(start, start - BLOCK + 1 + size), j, np.full(len(j), int(is_b)))
+                    whole = counted(hashed.of(anchor - far, anchor - close + size), far - close, close - j * BLOCK)
+                    yield rows_of(BLOCKS, leading(octets, start), common, whole, np.full(len(x), k1), np.full(len(x), k2), anchor - far, far - close + 1, np.full(len(x), is_b), state[x] == 2)
+
+
+def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, before, after in with_neighbours(batches):
+        lead, near, equal = beside("lead", rows, before, after, True), beside("common", rows, before, after, True), beside("whole", rows, before, after, False)
+        near = (near[0] & lead[0], near[1] & lead[1])
+        equal = (equal[0] & near[0], equal[1] & near[1])
+        state = states(near, equal, ~rows["own"])
+        at = np.where(rows["own"], state > 0, state > 1)
+        if at.any():
+            yield rows_of(HELD, *(rows[c][at] for c in ("k1", "k2", "p", "n", "b")), state[at], rows["own"][at])
+
+
+def entries(batches: Iterator[pa.RecordBatch], passage: int, length: int) -> Iterator[pa.RecordBatch]:
+    """``ENTRY`` rows of texts (data, k1, k2, wanted: p, n, b, own)."""
+    for batch in small_batches(batches, "data"):
+        cut, (p, n, b, own) = lists(batch.column("wanted"))
+        for i, (text, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("data", "k1", "k2")), strict=True)):
+            hashed, octets = Hashed(text), np.frombuffer(text, np.uint8)
+            for size, is_b in ((passage, False), (length, True)):
+                x = np.flatnonzero(b[cut[i] : cut[i + 1]] == is_b) + cut[i]
+                for lo in range(0, len(x), 1 << 13):
+                    y = x[lo : lo + (1 << 13)]
+                    z = np.repeat(y, n[y])
+                    q = p[z].astype(np.int64) + np.arange(len(z)) - np.repeat(np.cumsum(n[y]) - n[y], n[y])
+                    yield rows_of(ENTRY, leading(octets, q), counted(hashed.of(q, q + size), np.full(len(q), int(is_b))), np.full(len(q), k1), np.full(len(q), k2), q, np.full(len(q), is_b), own[z])
 
 
 def sort_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, before, after in with_neighbours(batches):
-        a, b = beside(0, rows, before, after, False), beside(1, rows, before, after, False)
+        a, b = beside("lead", rows, before, after, False), beside("whole", rows, before, after, False)
         equal = (a[0] & b[0]) | (a[1] & b[1])
         edge = np.zeros(len(equal), bool)
         edge[0] |= before is None
         edge[-1] |= after is None
-        at = (equal & rows[5]) | edge
+        at = (equal & rows["own"]) | edge
         if at.any():
-            inner = ~edge[at]  # only edge rows still need what they are sorted by
-            lead, whole = (pa.array(c[at], f.type, mask=inner) for c, f in zip(rows, MARKED, strict=False) if f.name in ("lead", "whole"))
-            yield pa.RecordBatch.from_arrays([lead, whole, *[pa.array(c[at]) for c in rows[2:]], pa.array(equal[at]), pa.array(edge[at])], schema=MARKED)
+            yield rows_of(MARKED, *(c[at] for c in rows.values()), equal[at], edge[at])
 
 
-def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = 400, seed: int = 200, keep_text: bool = True) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row. ``spans``: "start:end" of removed runs, in bytes of the input, comma-joined.
+def covered(p: np.ndarray, n: np.ndarray, size: int, total: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that ``n`` strings of ``size`` bytes from each ``p`` on cover together."""
+    if not len(p):
+        return [], []
+    order = np.argsort(p, kind="stable")
+    s, e = p[order].astype(np.int64), np.maximum.accumulate(p[order].astype(np.int64) + n[order] - 1 + size)
+    new = np.concatenate(([True], s[1:] > e[:-1]))
+    return s[new].tolist(), np.minimum(e[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(e) - 1]))], total).tolist()
 
-    Null text counts as empty. Texts under ``length`` bytes lose nothing by themselves. Rows that are the same in key and text are separate places, so they are repeats of
-    each other. Rows with a null key take part and come back with it. An empty table gives an empty result.
+
+def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = 400, passage: int = 240, passage_words: int = 50, seed: int = 80, keep_text: bool = True) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passages[, kept]) of every row. ``spans``: "start:end" of removed runs, in bytes of the input, comma-joined.
+    ``n_passages``: maximal runs of bytes covered by repeated strings of ``passage`` bytes that hold over ``passage_words`` words.
+
+    Null text counts as empty. Texts under ``length`` bytes lose nothing. Rows that are the same in key and text are separate places, so they are repeats of
+    each other. Rows with a null key take part and come back with it. Columns other than key and text are not read. An empty table gives an empty result.
     """
+    if not BLOCK < seed <= passage <= length:
+        raise ValueError(f"{BLOCK} < seed <= passage <= length is needed")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = F.coalesce(docs[text], F.lit("")).cast("binary")
-    whole_number = isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    place = F.coalesce(F.col(key).cast("long") if whole_number else F.xxhash64(key), F.lit(0))  # with a hash of the text, for rows that repeat a key
-    rows = docs.select(F.col(key), data.alias("data"), F.hash(key, text).alias("k1"), place.alias("k2"))
+    rows = docs.select(F.col(key), data.alias("data"), F.hash(key, text).alias("k1"), F.xxhash64(text, key).alias("k2"))
+    long_ = rows.where(F.length("data") >= passage).select("data", "k1", "k2")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "data"):
-            out = []
-            for d, k1, k2 in zip(*(b.column(c).to_pylist() for c in ("data", "k1", "k2")), strict=True):
-                if len(d) >= length:
-                    least, whole, p0, p1, many = runs_of(d, length, seed)
-                    out.append((least, whole, np.full(len(p0), k1), np.full(len(p0), k2), p0, p1, many))
-            if out:
-                yield arrays(RUN, *[np.concatenate(x) for x in zip(*out, strict=True)])
+        for group in pieces(batches, passage, length):
+            yield runs_of(group, passage, length, seed)
 
-    runs = stored(rows.where(F.length("data") >= length).select("data", "k1", "k2").mapInArrow(find, ddl(RUN)), "runs")
-    by_run = ["least", "whole", "k1", "p0"]
-    found = stored(runs.repartitionByRange(parts, *by_run).sortWithinPartitions(*by_run).mapInArrow(sort_runs, ddl(FOUND)), "found")
-    dropped(runs)
+    def sorted_by(df: DataFrame, *by: str) -> DataFrame:
+        return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "data"):
-            for d, k1, k2, wanted in zip(*(b.column(c).to_pylist() for c in ("data", "k1", "k2", "wanted")), strict=True):
-                hashed = Hashed(d)
-                own = np.zeros(len(d) + 1, np.int8)
-                for w in wanted:
-                    own[w["p0"] : w["p1"] + 1] = np.maximum(own[w["p0"] : w["p1"] + 1], 2 if w["kind"] == ASK else 1)
-                octets = np.frombuffer(d, np.uint8)
-                p = np.flatnonzero(own)
-                for a in range(0, len(p), 1 << 17):
-                    q = p[a : a + (1 << 17)]
-                    lead = octets[q].astype(np.int32) << 8 | octets[q + 1]
-                    yield arrays(ENTRY, lead, hashed.of(q, q + length).view(np.int64), np.full(len(q), k1), np.full(len(q), k2), q.astype(np.int32), own[q] == 2)
-
-    wanted = found.where(F.col("kind") != REPEATED).groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1", "kind")).alias("wanted"))
-    by_entry = ["lead", "whole", "k1", "p"]
-    entries = rows.where(F.length("data") >= length).select("data", "k1", "k2").join(wanted, ["k1", "k2"]).mapInArrow(expand, ddl(ENTRY))
-    marked = stored(entries.repartitionByRange(parts, *by_entry).sortWithinPartitions(*by_entry).mapInArrow(sort_entries, ddl(MARKED)), "marked")
+    runs = stored(long_.mapInArrow(find, RUN), "runs")
+    settled = runs.where("settled").select("k1", "k2", "p", "na", "nb", "d", F.lit(1).alias("sa"), F.when(F.col("nb") > 0, 1).otherwise(0).alias("sb"))
+    asked = runs.where("not settled").drop("settled")
+    found = stored(sorted_by(asked, "least", "ua", "ub", "k1", "p").mapInArrow(sort_runs, FOUND).unionByName(settled), "found")
+    dropped(runs)
+    wanted = found.where("sa > 1 or sb > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "na", "nb", "d", "sa", "sb")).alias("wanted"))
+    cut_up = stored(long_.join(wanted, ["k1", "k2"]).mapInArrow(lambda b: blocks(b, passage, length), BLOCKS), "blocks")
+    held = stored(sorted_by(cut_up, "lead", "common", "whole", "k1", "p").mapInArrow(sort_blocks, HELD), "held")
+    dropped(cut_up)
+    wanted = held.where("state > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b", (F.col("state") == 2).alias("own"))).alias("wanted"))
+    suffixes = stored(long_.join(wanted, ["k1", "k2"]).mapInArrow(lambda b: entries(b, passage, length), ENTRY), "suffixes")
+    marked = stored(sorted_by(suffixes, "lead", "whole", "k1", "p").mapInArrow(sort_entries, MARKED), "marked")
+    dropped(suffixes)
     edges = marked.where("edge")  # two rows a bucket at most
     meets = edges.groupBy("lead", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = marked.where("own and same").select("k1", "k2", "p").unionByName(edges.where("own and not same").join(meets, ["lead", "whole"]).select("k1", "k2", "p"))
-    spans = found.where(F.col("kind") == REPEATED).select("k1", "k2", "p0", "p1").unionByName(hits.select("k1", "k2", F.col("p").alias("p0"), F.col("p").alias("p1")))
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1"))
-    schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.StringType())] + [T.StructField("kept", T.BinaryType())] * keep_text)
+    hits = marked.where("own and same").select("k1", "k2", "p", "b").unionByName(edges.where("own and not same").join(meets, ["lead", "whole"]).select("k1", "k2", "p", "b"))
+    spans = [found.where(F.col(s).isin(1, 3)).select("k1", "k2", "p", F.col(n).alias("n"), F.lit(b).alias("b")) for s, n, b in (("sa", "na", False), ("sb", "nb", True))]
+    spans += [held.where("own and state in (1, 3)").select("k1", "k2", "p", "n", "b"), hits.select("k1", "k2", "p", F.lit(1).alias("n"), "b")]
+    per_doc = reduce(DataFrame.unionByName, spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b")).alias("wanted"))
+    out_schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_passages", T.LongType())] + [T.StructField("kept", T.BinaryType())] * keep_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "data"):
+        for batch in small_batches(batches, "data"):
             out: list[tuple] = []
-            for d, p0, p1 in zip(*(b.column(c).to_pylist() for c in ("data", "p0", "p1")), strict=True):
-                change = np.zeros(len(d) + 2, np.int32)
-                if p0:
-                    np.add.at(change, np.array(p0), 1)
-                    np.add.at(change, np.array(p1) + length, -1)
-                gone = np.concatenate(([0], np.cumsum(change[: len(d)]) > 0, [0])).astype(np.int8)
-                step = np.diff(gone)
-                start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            at, (p, n, b) = lists(batch.column("wanted"))
+            for i, d in enumerate(batch.column("data").to_pylist()):
+                own = slice(at[i], at[i + 1])
+                is_b = b[own].astype(bool)
+                start, end = covered(p[own][is_b], n[own][is_b], length, len(d))
+                n_passages = sum(len(d[s:e].split()) > passage_words for s, e in zip(*covered(p[own][~is_b], n[own][~is_b], passage, len(d)), strict=True))
                 kept, last = [], 0
-                for s, e in zip(start.tolist(), end.tolist(), strict=True):
+                for s, e in zip(start, end, strict=True):
                     kept.append(d[last:s])
                     last = e
                 kept = b"".join([*kept, d[last:]])
-                out.append((len(d), len(d) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), ",".join(f"{s}:{e}" for s, e in zip(start.tolist(), end.tolist(), strict=True)), *([kept] if keep_text else [])))
-            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(x) for x in zip(*out, strict=True)]], names=schema.names)
+                out.append((len(d), len(d) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), ",".join(f"{s}:{e}" for s, e in zip(start, end, strict=True)), n_passages, *([kept] if keep_text else [])))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(x) for x in zip(*out, strict=True)]], names=out_schema.names)
 
-    return rows.join(per_doc, ["k1", "k2"], "left").select(key, "data", "p0", "p1").mapInArrow(cut, schema)
+    return rows.join(per_doc, ["k1", "k2"], "left").select(key, "data", "wanted").mapInArrow(cut, out_schema)

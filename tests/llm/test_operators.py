@@ -59,7 +59,7 @@ def test_suffix_removal_is_exact(spark):
     texts += [texts[-1], texts[0][:150] + "é" + texts[0][150:]]
     length, data = 50, [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
-    got = suffix.removal(docs(spark, with_extras(texts)), length=length, seed=24).orderBy("doc_id").collect()
+    got = suffix.removal(docs(spark, with_extras(texts)), length=length, passage=30, seed=20).orderBy("doc_id").collect()
     for b, r in zip(data, got, strict=True):
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
@@ -67,7 +67,7 @@ def test_suffix_removal_is_exact(spark):
                 gone[i : i + length] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         assert (r.n_removed, r.kept_sha256, bytes(r.kept)) == (gone.sum(), hashlib.sha256(kept).hexdigest(), kept)
-    assert suffix.removal(docs(spark, []), length=length, seed=24).count() == 0
+    assert suffix.removal(docs(spark, []), length=length, passage=30, seed=20).count() == 0
 
 
 def test_extraction(spark):
@@ -125,12 +125,38 @@ def test_battery_leaves_written_strings():
     assert [secrets.scan(f"see {t} here") for t in written] == [[]] * len(written)
 
 
+def line_rows(texts, passage_words):
+    """Brute force of ``lines.removed``: the places of every unit, the first kept; ``texts``: (key, text), repeats of a row one after the other."""
+    places, out = {}, []
+    for key, t in dict.fromkeys((k, t or "") for k, t in texts):
+        for s, e, w in lines.units(t, passage_words):
+            places.setdefault(tuple(w), []).append((key is None, key or 0, t, s))
+    seen = Counter()
+    for key, t in ((k, t or "") for k, t in texts):
+        seen[key, t] += 1
+        copies = sum(x == (key, t) for x in ((k, u or "") for k, u in texts))
+        own = [(s, e, len(w), min(places[tuple(w)]) < (key is None, key or 0, t, s), len(set(places[tuple(w)])) > 1 or copies > 1) for s, e, w in lines.units(t, passage_words)]
+        gone = [(s, e) for s, e, _, g, _ in own if g] if seen[key, t] == 1 else [(s, e) for s, e, *_ in own]
+        mask = np.zeros(len(t) + 1, int)
+        for s, e in gone:
+            mask[s:e] = 1
+        edge = np.diff(np.concatenate(([0], mask)))
+        spans = ",".join(f"{a}:{b}" for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
+        out.append((key, len(t), len(set(gone)), len(lines.merged(sorted((s, e) for s, e, n, _, o in own if n >= passage_words and o))), int(mask.sum()), spans, "".join(c for c, m in zip(t, mask, strict=False) if not m)))
+    return out
+
+
 def test_line_dedup(spark):
-    a, b = prose(12), prose(12)
-    got = lines.removed(docs(spark, with_extras([f"{a}\nshort", f"{b}\n{a.upper()}  ", f"x\n{b}\n{b}", None, ""]))).collect()
-    assert sorted((r.doc_id, r.unit, r.kept_doc_id, r.kept_unit) for r in got) == [(1, 1, 0, 0), (2, 1, 1, 0), (2, 2, 1, 0)]
-    kept = {r.doc_id: r.text for r in lines.deduplicated(docs(spark, with_extras([f"{a}\nshort", f"{b}\n{a}"]))).collect()}
-    assert kept == {0: f"{a}\nshort", 1: b}
+    a, b, c = prose(12), prose(12), ". ".join(prose(6) for _ in range(6))
+    texts = [f"{a}\nshort", f"{b}\n{a.upper()}  ", f"x\n{b}\n\n{b}\n \t\n", None, "", f"here {prose(3)}. {c} and {prose(4)}\nshort", f"{prose(9)}. {c}. {prose(2)}", f"é\n{'no end ' * 3000}"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 2 + [(None, texts[0])] * 2
+    d = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, s string, __key string").repartition(3)
+    expected = line_rows(rows, 10)
+    got = [(r.doc_id, r.n_chars, r.n_removed, r.n_passages, r.removed_chars, r.spans) for r in lines.removed(d, passage_words=10).collect()]
+    assert sorted(got, key=repr) == sorted((x[:6] for x in expected), key=repr) and expected[6][2] > 0
+    kept = [(r.doc_id, r.text or "", r.s) for r in lines.deduplicated(d, passage_words=10).collect()]
+    assert sorted(kept, key=repr) == sorted(((x[0], x[6], "x") for x in expected), key=repr)
+    assert lines.removed(d.limit(0)).count() == lines.deduplicated(d.limit(0)).count() == 0
 
 
 def hamming_components(fps, most):
