@@ -113,16 +113,16 @@ def results(docs: DataFrame, *, text: str, key: str, passage_words: int) -> Data
     """The columns of ``removed`` with __key, __hash and __again: whether the row repeats another one."""
     all_ = stored(digested(docs, text=text, key=key, passage_words=passage_words), "units")
     own = all_.where("s >= 0").select("__key", "__hash", "d1", "d2", "s", "e", "words")
-    often = own.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    often = stored(own.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "often")  # stored, so that the join's hot keys can be split
     held = stored(own.join(often, ["d1", "d2"], "left_semi"), "repeated")
     place = F.struct(F.col("__key").isNull().alias("z"), "__key", "__hash", "s")
-    first = held.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = stored(held.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")), "first")
     marked = held.join(first, ["d1", "d2"]).select("__key", "__hash", "s", "e", "words", (place > F.col("first")).alias("gone"), (F.col("first") < F.col("last")).alias("elsewhere"))
     per = marked.groupBy("__key", "__hash").agg(F.collect_set(F.struct("s", "e", "words", "gone", "elsewhere")).alias("units"))
     heads = all_.where("s < 0").select("__key", "__hash", "__uid", F.col("e").cast("long").alias("n_chars"), F.col("words").cast("long").alias("n_lines"), "n_long", "whole")
     one = heads.groupBy("__key", "__hash").agg(F.min("__uid").alias("__first"), F.count("*").alias("__n"))
     same = lambda a, b: a["__key"].eqNullSafe(b["__key"]) & (a["__hash"] == b["__hash"])
-    found = one.alias("o").join(per.alias("p"), F.col("o.__key").eqNullSafe(F.col("p.__key")) & (F.col("o.__hash") == F.col("p.__hash")), "left").select("o.*", "units")
+    found = stored(one.alias("o").join(per.alias("p"), F.col("o.__key").eqNullSafe(F.col("p.__key")) & (F.col("o.__hash") == F.col("p.__hash")), "left").select("o.*", "units"), "found")
     rows = heads.join(found, same(heads, found)).select(heads["*"], "units", (heads["__uid"] != found["__first"]).alias("__again"), (found["__n"] > 1).alias("__many"))
     schema = T.StructType([*docs.select(F.col(key).alias("__key")).schema.fields, T.StructField("__hash", T.LongType()), T.StructField("__again", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in RESULT[:-1]], T.StructField("spans", T.StringType())])
 

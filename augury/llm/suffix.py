@@ -323,11 +323,12 @@ def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     asked = runs.where("not settled").drop("settled")
     found = stored(sorted_by(asked, "least", "ua", "ub", "k1", "p").mapInArrow(sort_runs, FOUND).unionByName(settled), "found")
     dropped(runs)
-    wanted = found.where("sa > 1 or sb > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "na", "nb", "d", "sa", "sb")).alias("wanted"))
+    # What joins texts is stored first, so that the joins' hot keys (rows that repeat each other) can be split.
+    wanted = stored(found.where("sa > 1 or sb > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "na", "nb", "d", "sa", "sb")).alias("wanted")), "wanted")
     cut_up = stored(long_.join(wanted, ["k1", "k2"]).mapInArrow(lambda b: blocks(b, passage, length), BLOCKS), "blocks")
     held = stored(sorted_by(cut_up, "lead", "common", "whole", "k1", "p").mapInArrow(sort_blocks, HELD), "held")
     dropped(cut_up)
-    wanted = held.where("state > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b", (F.col("state") == 2).alias("own"))).alias("wanted"))
+    wanted = stored(held.where("state > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b", (F.col("state") == 2).alias("own"))).alias("wanted")), "wanted")
     suffixes = stored(long_.join(wanted, ["k1", "k2"]).mapInArrow(lambda b: entries(b, passage, length), ENTRY), "suffixes")
     marked = stored(sorted_by(suffixes, "lead", "whole", "k1", "p").mapInArrow(sort_entries, MARKED), "marked")
     dropped(suffixes)
@@ -336,7 +337,7 @@ def removal(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     hits = marked.where("own and same").select("k1", "k2", "p", "b").unionByName(edges.where("own and not same").join(meets, ["lead", "whole"]).select("k1", "k2", "p", "b"))
     spans = [found.where(F.col(s).isin(1, 3)).select("k1", "k2", "p", F.col(n).alias("n"), F.lit(b).alias("b")) for s, n, b in (("sa", "na", False), ("sb", "nb", True))]
     spans += [held.where("own and state in (1, 3)").select("k1", "k2", "p", "n", "b"), hits.select("k1", "k2", "p", F.lit(1).alias("n"), "b")]
-    per_doc = reduce(DataFrame.unionByName, spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b")).alias("wanted"))
+    per_doc = stored(reduce(DataFrame.unionByName, spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "n", "b")).alias("wanted")), "spans")
     out_schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_passages", T.LongType())] + [T.StructField("kept", T.BinaryType())] * keep_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
