@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.functions.text import foresight, mitigation, wilson
+from augury.functions.text import foresight, wilson
 
 SIX = 6
 
@@ -58,13 +58,25 @@ def beta0(df: DataFrame, windows: list[int], by: list[str] | None = None) -> Dat
     return w.groupBy(*(by or []), "post_days").agg(F.count("*").alias("n"), F.sum(F.col("forward").cast("int")).alias("n_forward"), F.round(share(F.col("forward")), SIX).alias("beta0"))
 
 
+def running(c: DataFrame, score: str, sums: list[str], by: list[str], buckets: int = 200) -> DataFrame:
+    """``c`` (a row per distinct score, many at scale) with <sum>_under: totals over strictly lower scores of the same group. Two levels: scores are cut into ranges at approximate quantiles, windows run
+    inside a range, and the ranges' own totals, few, are carried over by a join; no task takes all scores."""
+    cuts = sorted(set(c.stat.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    c = c.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x <= F.col(score))) if cuts else F.lit(0))
+    below = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = c.groupBy(*by, "__b").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    totals = totals.select(*by, "__b", *[F.coalesce(F.sum(f"__{s}").over(below), F.lit(0)).alias(f"__{s}") for s in sums])
+    inside = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    j = c.join(totals, [*by, "__b"])
+    return j.select(*[x for x in c.columns if x != "__b"], *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__{s}")).alias(f"{s}_under") for s in sums])
+
+
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """P(score of a positive > of a negative) + half of ties, exact: counts per distinct score, then running counts, never pairs."""
     by = by or []
     c = df.groupBy(*by, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    return c.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.round(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0)), SIX).alias("auc"))
+    c = running(c, score, ["q"], by)
+    return c.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.round(F.sum(F.col("p") * (F.col("q_under") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0)), SIX).alias("auc"))
 
 
 def survival(df: DataFrame, days: int = 14) -> DataFrame:
@@ -99,36 +111,6 @@ def thresholds(df: DataFrame, grid: list[float], by: list[str] | None = None) ->
     return t.select(*by, "theta", "fired", "tp", (F.col("fired") - F.col("tp")).alias("fp"), F.round(F.col("tp") / F.col("fired"), SIX).alias("prec"), F.round(F.col("lead_sum") / F.nullif(F.col("tp"), F.lit(0)), SIX).alias("mean_lead"))
 
 
-def costs(t: DataFrame, events: int, c_fp: float = 0.05) -> DataFrame:
-    """Expected cost at each threshold from events' own rows of ``thresholds``: a missed event costs 1, a warned one 1 less mitigation at its mean lead, a false alarm c_fp."""
-    hit = F.when(F.col("tp") > 0, 1 - mitigation(F.col("mean_lead"))).otherwise(1.0)
-    return t.groupBy("theta").agg(F.round((F.sum(hit) + (F.lit(events) - F.count("*")) + F.sum(F.col("fp")) * c_fp) / events, SIX).alias("cost"))
-
-
-def event_draws(e: DataFrame, by: str, replicates: int) -> DataFrame:
-    """``e`` (a row per event) drawn with replacement: each replicate takes as many events as there are, by a linear congruential index over their rank."""
-    e = e.withColumn("i", F.row_number().over(Window.orderBy(by)) - 1)
-    n = e.count()
-    draws = e.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    draws = draws.withColumn("i", ((F.col("rep") * 7919 + F.col("slot") * 104729 + 12345) * 1103515245 % 2147483648 / 65536).cast("long") % n)
-    return draws.join(F.broadcast(e) if n <= 10_000 else e, "i")
-
-
-def bootstrap(df: DataFrame, by: str, replicates: int, flag: str = "is_tp", name: str = "prec") -> DataFrame:
-    """Event resampling of the share of ``flag``. Events are aggregated first, so draws join rows per event, not per signal."""
-    e = df.groupBy(by).agg(F.sum(F.col(flag).cast("int")).alias("k"), F.count("*").alias("n"))
-    return event_draws(e, by, replicates).groupBy("rep").agg(F.round(F.sum("k") / F.sum("n"), SIX).alias(name))
-
-
-def paired_bootstrap(df: DataFrame, by: str, arm: str, a: str, b: str, replicates: int) -> DataFrame:
-    """Event resampling of two arms by the same draws: precision of each and the difference."""
-    n = lambda x, c: F.sum(F.when(F.col(arm) == x, c).otherwise(0))
-    tp = F.col("is_tp").cast("int")
-    e = df.groupBy(by).agg(n(a, tp).alias("tp_a"), n(b, tp).alias("tp_b"), n(a, F.lit(1)).alias("n_a"), n(b, F.lit(1)).alias("n_b"))
-    p = {x: F.sum(f"tp_{x}") / F.nullif(F.sum(f"n_{x}"), F.lit(0)) for x in "ab"}
-    return event_draws(e, by, replicates).groupBy("rep").agg(F.round(p["a"], SIX).alias("prec_a"), F.round(p["b"], SIX).alias("prec_b"), F.round(p["b"] - p["a"], SIX).alias("delta"))
-
-
 def kde(df: DataFrame, value: str, grid: list[int], least_width: float = 5.0) -> DataFrame:
     """Gaussian density of ``value`` at the grid's points, width max(1.06 s n^-0.2, ``least_width``). Distinct values are counted first, so the grid multiplies counts."""
     c = df.groupBy(value).agg(F.count("*").alias("n"))
@@ -149,9 +131,10 @@ def at_k(df: DataFrame, score: str, key: str, ks: list[int]) -> DataFrame:
 def average_precision(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Sum of precision times gained recall over the distinct scores from high to low, ties together."""
     c = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    down = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row per distinct score
-    c = c.select("p", (F.sum("p").over(down) / F.sum("n").over(down)).alias("prec"))
-    return c.agg(F.sum("p").alias("n_pos"), F.round(F.sum(F.col("p") * F.col("prec")) / F.nullif(F.sum("p"), F.lit(0)), SIX).alias("ap"))
+    all_ = c.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))  # one row
+    c = running(c, score, ["n", "p"], []).join(F.broadcast(all_))
+    prec = (F.col("all_p") - F.col("p_under")) / (F.col("all_n") - F.col("n_under"))
+    return c.agg(F.sum("p").alias("n_pos"), F.round(F.sum(F.col("p") * prec) / F.nullif(F.sum("p"), F.lit(0)), SIX).alias("ap"))
 
 
 def drift(df: DataFrame, group: str, features: list[str]) -> DataFrame:
@@ -161,21 +144,6 @@ def drift(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     return x.select("feature", F.round("gap", SIX).alias("gap"), (F.col("gap") > 0.5).alias("flagged"))
 
 
-def best_by_cost(t: DataFrame, events: int, prices: list[float]) -> DataFrame:
-    """Cheapest threshold at each price of a false alarm, from events' own rows of ``thresholds``; the lower one on ties."""
-    hit = F.when(F.col("tp") > 0, 1 - mitigation(F.col("mean_lead"))).otherwise(1.0)
-    c = t.groupBy("theta").agg((F.sum(hit) + F.lit(events) - F.count("*")).alias("fixed"), F.sum("fp").alias("fp"))
-    c = c.select("theta", "fixed", "fp", F.explode(F.array(*map(F.lit, prices))).alias("price")).withColumn("cost", F.round((F.col("fixed") + F.col("fp") * F.col("price")) / events, SIX))
-    return c.groupBy("price").agg(F.min(F.struct("cost", "theta")).alias("m")).select("price", "m.theta", "m.cost")
-
-
-def history(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Causal features: rows before, days since the last, and running means of earlier confidence, all from strictly earlier rows of the key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return df.select("*", F.count("*").over(before).alias("prior_count"), F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(0)).alias("days_since"), F.round(F.coalesce(F.avg("conf").over(before), F.lit(0.0)), SIX).alias("prior_conf"))
-
-
 def rollup(df: DataFrame, by: str, pooled: str = "POOLED") -> DataFrame:
     """``cell`` of every group and of all rows together, from one pass."""
     tp = F.col("is_tp").cast("int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,29 +10,20 @@ from augury.operators import corpus as C
 from augury.operators import match as M
 from augury.operators import metrics as A
 from augury.plans.adapters import LEADS, SIGNALS, TRUTH, leads, signals, table, truth
+from augury.plans.catalog import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 def matched(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
-    """Forward signals with each event they precede by up to ``days``, and every rule's verdict. The truth side holds tens of events; the planner broadcasts it by its size."""
+    """Forward signals with each event they precede by up to ``days``, and every rule's verdict. Values are matched once per distinct pair; the range join over (truth, day) comes last,
+    and the planner broadcasts the truth side by its size."""
     s = signals(spark, d).where(F.col("temporality").isin(*X.FORWARD))
     t = truth(spark, d)
+    columns, truth_columns = ["companies", "geographies", "commodities"], ["t_companies", "t_geographies", "t_commodities"]
+    s = M.with_verdicts(s, t, "event_id", columns, truth_columns)
     j = s.join(t, X.lead_days(t.onset, s.day).between(1, days)).withColumn("lead", X.lead_days(F.col("onset"), F.col("day")))
-    pairs = (("co", "companies"), ("geo", "geographies"), ("good", "commodities"))
-    j = j.withColumns({f"{k}_{v}": M.hits(F.col(n), F.col(f"t_{n}"), same) for k, n in pairs for v, same in (("s", M.is_substring), ("w", M.is_words))})
-    rules = {r: M.rule(r, *(F.col(f"{k}_{'s' if r.startswith('R0') else 'w'}") for k, _ in pairs), F.col("axis")) for r in M.RULES}
+    j = j.withColumns({f"{k}_{v[0]}": M.matched_values(F.col(n), F.col("m")[i][v]) for i, (k, n) in enumerate(zip(("co", "geo", "good"), truth_columns, strict=True)) for v in M.TESTS})
+    rules = {r: M.rule(r, *(F.col(f"{k}_{'l' if r.startswith('R0') else 'w'}") for k in ("co", "geo", "good")), F.col("axis")) for r in M.RULES}
     exact = {"loose": (F.col("co_s") > 0) | (F.col("geo_s") > 0) | (F.col("good_s") > 0), "strict": (F.col("co_s") > 0) | ((F.col("geo_s") > 0) & (F.col("good_s") > 0))}
     return j.withColumns(rules | exact)
 
@@ -47,13 +36,22 @@ def sub(a: str, b: str) -> str:
     return f"coalesce(contains(lower(trim({a})), lower(trim({b}))) or contains(lower(trim({b})), lower(trim({a}))), false)"
 
 
+def acronym(a: str, b: str) -> str:
+    words = f"string_split(trim({padded(b)}), ' ')"
+    return f"(regexp_full_match(lower(trim({a})), '[a-z]{{2,6}}') and len({words}) >= 2 and array_to_string([x[1] for x in {words}], '') = lower(trim({a})))"
+
+
+def loose(a: str, b: str) -> str:
+    return f"coalesce({sub(a, b)} or {acronym(a, b)} or {acronym(b, a)}, false)"
+
+
 def word(a: str, b: str) -> str:
-    return f"coalesce(contains({padded(a)}, {padded(b)}) or contains({padded(b)}, {padded(a)}), false)"
+    return f"coalesce(contains({padded(a)}, {padded(b)}) or contains({padded(b)}, {padded(a)}) or {acronym(a, b)} or {acronym(b, a)}, false)"
 
 
-MATCHED = f"""{SIGNALS}, {TRUTH}, pairs as (select *, date_diff('day', day, onset) as lead, {sub("co", "t_co")} as co_s, {sub("geo", "t_geo")} as geo_s, {sub("good", "t_good")} as good_s, {word("co", "t_co")} as co_w, {word("geo", "t_geo")} as geo_w, {word("good", "t_good")} as good_w
+MATCHED = f"""{SIGNALS}, {TRUTH}, pairs as (select *, date_diff('day', day, onset) as lead, {sub("co", "t_co")} as co_s, {sub("geo", "t_geo")} as geo_s, {sub("good", "t_good")} as good_s, {loose("co", "t_co")} as co_l, {loose("geo", "t_geo")} as geo_l, {loose("good", "t_good")} as good_l, {word("co", "t_co")} as co_w, {word("geo", "t_geo")} as geo_w, {word("good", "t_good")} as good_w
  from signals join truth on date_diff('day', day, onset) between 1 and 180 where temporality in ('forward_looking', 'latent')),
- matched as (select *, co_s or geo_s or good_s as loose, co_s or (geo_s and good_s) as strict, co_s or geo_s or good_s as r0, co_w or geo_w or good_w as r1, co_w or (geo_w and good_w) as r2, co_w as r3, co_w or (axis <> 'company' and geo_w and good_w) as r4 from pairs)"""
+ matched as (select *, co_s or geo_s or good_s as loose, co_s or (geo_s and good_s) as strict, co_l or geo_l or good_l as r0, co_w or geo_w or good_w as r1, co_w or (geo_w and good_w) as r2, co_w as r3, co_w or (axis <> 'company' and geo_w and good_w) as r4 from pairs)"""
 
 
 @query(f"with {MATCHED} select 'R' || r as rule, count(*) as n, sum(cast(ok as int)) as tp, count(distinct case when ok then truth_id end) as events_hit from (select truth_id, unnest([0,1,2,3,4]) as r, unnest([r0, r1, r2, r3, r4]) as ok from matched) group by r")
@@ -289,19 +287,13 @@ def arms(spark, d) -> DataFrame:
     return A.pre_onset(leads(spark, d)).agg(n("F", True).alias("tp_a"), n("O", True).alias("tp_b"), n("F", False).alias("fp_a"), n("O", False).alias("fp_b"))
 
 
-@query(f"with {LEADS}, {ARMS} select tp_b - tp_a as d_tp, fp_b - fp_a as d_fp, case when tp_b >= tp_a then 0.0::double when fp_b = fp_a then null else round(abs(tp_b - tp_a) / abs(fp_b - fp_a), 6) end as c_star from arms")
-def break_even_cost(spark, d):
-    tp, fp = F.col("tp_b") - F.col("tp_a"), F.col("fp_b") - F.col("fp_a")
-    return arms(spark, d).select(tp.alias("d_tp"), fp.alias("d_fp"), F.when(tp >= 0, 0.0).when(fp == 0, None).otherwise(F.round(F.abs(tp) / F.abs(fp), 6)).alias("c_star"))
-
-
 @query(f"with {LEADS}, {ARMS} select c, round(tp_a - c * fp_a, 6) as value_a, round(tp_b - c * fp_b, 6) as value_b from arms, (select unnest([0.25, 0.5, 1.0, 2.0]::double[]) as c)")
 def value_by_cost(spark, d):
     c = arms(spark, d).select("*", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0)))).alias("c"))
     return c.select("c", F.round(F.col("tp_a") - F.col("c") * F.col("fp_a"), 6).alias("value_a"), F.round(F.col("tp_b") - F.col("c") * F.col("fp_b"), 6).alias("value_b"))
 
 
-GRID = [i / 20 for i in range(0, 20)]
+GRID = [i / 100 for i in range(30, 96)]
 THETA = f"(select unnest({GRID}::double[]) as theta)"
 CURVE = "select {by} theta, count(*) as fired, sum(cast(is_tp as int)) as tp, sum(cast(not is_tp as int)) as fp, round(avg(cast(is_tp as double)), 6) as prec, round(avg(lead) filter (is_tp), 6) as mean_lead from leads, " + THETA + " where lead between 1 and 180 and conf >= theta group by all"
 
@@ -311,52 +303,6 @@ def threshold_curve(spark, d):
     return A.thresholds(A.pre_onset(leads(spark, d)), GRID)
 
 
-COST = f"cost as (select theta, round((sum(case when tp > 0 then 1 - 0.8 * (1 - exp(-greatest(mean_lead, 0) / 14.0)) else 1.0 end) + (17 - count(*)) + sum(fp) * 0.05) / 17, 6) as cost from ({CURVE.format(by='event,')}) group by theta)"
-
-
-@query(f"with {LEADS}, {COST} select theta, cost from cost")
-def expected_cost(spark, d):
-    return A.costs(A.thresholds(A.pre_onset(leads(spark, d)), GRID, ["event"]), 17)
-
-
-@query(f"with {LEADS}, {COST} select theta, cost from cost order by cost, theta limit 1")
-def best_theta(spark, d):
-    return expected_cost(spark, d).agg(F.min(F.struct("cost", "theta")).alias("m")).select("m.theta", "m.cost")
-
-
-@query(f"with {LEADS}, per as (select event, theta, case when tp > 0 then 1 - 0.8 * (1 - exp(-greatest(mean_lead, 0) / 14.0)) else 1.0 end + fp * 0.05 - 1 as c from ({CURVE.format(by='event,')})), tot as (select theta, sum(c) as c from per group by theta), ev as (select distinct event from leads), r as (select ev.event, tot.theta, round(tot.c - coalesce(per.c, 0), 6) as rest from ev cross join tot left join per on per.event = ev.event and per.theta = tot.theta) select event, theta, rest from r qualify row_number() over (partition by event order by rest, theta) = 1")
-def loeo_theta(spark, d):
-    """Threshold chosen without each event: cost terms are sums, so the rest is the total less the event's own, with no second search."""
-    t = A.thresholds(A.pre_onset(leads(spark, d)), GRID, ["event"])
-    c = F.when(F.col("tp") > 0, 1 - X.mitigation(F.col("mean_lead"))).otherwise(1.0) + F.col("fp") * 0.05 - 1
-    per = t.select("event", "theta", c.alias("c"))
-    total = per.groupBy("theta").agg(F.sum("c").alias("total"))
-    grid = leads(spark, d).select("event").distinct().join(F.broadcast(total))  # a row per event and threshold
-    r = grid.join(per, ["event", "theta"], "left").select("event", "theta", F.round(F.col("total") - F.coalesce("c", F.lit(0.0)), 6).alias("rest"))
-    return r.groupBy("event").agg(F.min(F.struct("rest", "theta")).alias("m")).select("event", "m.theta", "m.rest")
-
-
-LCG = "cast(floor(((rep * 7919 + slot * 104729 + 12345) * 1103515245 % 2147483648) / 65536) as bigint) % 17"
-
-
-@query(f"with {LEADS}, e as (select sum(cast(is_tp as int)) as tp, count(*) as n, row_number() over (order by event) - 1 as i from leads where lead between 1 and 180 group by event) select rep, round(sum(tp) / sum(n), 6) as prec from (select rep, {LCG} as i from range(200) a(rep), range(17) b(slot)) join e using (i) group by rep")
-def bootstrap_precision(spark, d):
-    return A.bootstrap(A.pre_onset(leads(spark, d)), "event", 200)
-
-
-DRAWN = f"(select rep, {LCG} as i from range(200) a(rep), range(17) b(slot)) join e using (i) group by rep"
-
-
-@query(f"with {LEADS}, e as (select sum(cast(forward as int)) as k, count(*) as n, row_number() over (order by event) - 1 as i from leads where -lead between 1 and 60 group by event) select rep, round(sum(k) / sum(n), 6) as beta0 from {DRAWN}")
-def bootstrap_beta0(spark, d):
-    return A.bootstrap(A.post_onset(leads(spark, d), 60), "event", 200, "forward", "beta0")
-
-
-@query(f"with {LEADS}, e as (select count(*) filter (is_tp and arm = 'F') as ta, count(*) filter (arm = 'F') as na, count(*) filter (is_tp and arm = 'O') as tb, count(*) filter (arm = 'O') as nb, row_number() over (order by event) - 1 as i from leads where lead between 1 and 180 group by event) select rep, round(sum(ta) / sum(na), 6) as prec_a, round(sum(tb) / sum(nb), 6) as prec_b, round(sum(tb) / sum(nb) - sum(ta) / sum(na), 6) as delta from {DRAWN}")
-def bootstrap_paired(spark, d):
-    return A.paired_bootstrap(A.pre_onset(leads(spark, d)), "event", "arm", "F", "O", 200)
-
-
 @query(f"with {LEADS}, v as (select lead from leads where lead between 1 and 180 and is_tp), s as (select count(*) as n, greatest(1.06 * stddev_samp(lead) * pow(count(*), -0.2), 5.0) as h from v) select cast(x as int) as x, round(sum(exp(-0.5 * pow((x - lead) / h, 2))) / any_value(n * h) / sqrt(2 * pi()), 8) as density from v, s, range(0, 181, 15) r(x) group by x")
 def lead_kde(spark, d):
     return A.kde(A.pre_onset(leads(spark, d)).where("is_tp"), "lead", list(range(0, 181, 15)))
@@ -377,12 +323,6 @@ def feature_drift(spark, d):
     return A.drift(A.pre_onset(leads(spark, d)), "is_tp", ["conf", "g", "lead"])
 
 
-@query(f"with {LEADS}, c as (select theta, sum(case when tp > 0 then 1 - 0.8 * (1 - exp(-greatest(mean_lead, 0) / 14.0)) else 1.0 end) + 17 - count(*) as fixed, sum(fp) as fp from ({CURVE.format(by='event,')}) group by theta), p as (select price, theta, round((fixed + fp * price) / 17, 6) as cost from c, (select unnest([0.01, 0.02, 0.05, 0.1, 0.2]::double[]) as price)) select price, theta, cost from p qualify row_number() over (partition by price order by cost, theta) = 1")
-def cost_sensitivity(spark, d):
-    """Cheapest threshold at each price of a false alarm."""
-    return A.best_by_cost(A.thresholds(A.pre_onset(leads(spark, d)), GRID, ["event"]), 17, [0.01, 0.02, 0.05, 0.1, 0.2])
-
-
 @query(f"with {LEADS} select {STRATUM} case when conf >= 0.8 then 'high' when conf >= 0.5 then 'mid' else 'low' end as band, count(*) as n, round(avg(conf), 6) as mean_conf, round(avg(cast(is_tp as double)), 6) as mean_tp from leads where lead between 1 and 180 group by all")
 def prob_warning(spark, d):
     """Chance of a true positive by confidence band and lead stratum, beside the mean confidence."""
@@ -406,13 +346,6 @@ def retraction(spark, d):
     return x.select(F.inline("x"))
 
 
-@query(f"with {LEADS}, u as (select event, sid, day, min(conf) as conf from leads group by all) select event, sid, count(*) over w as prior_count, coalesce(date_diff('day', lag(day) over (partition by event order by day, sid), day), 0) as days_since, conf, day, round(coalesce(avg(conf) over w, 0), 6) as prior_conf from u window w as (partition by event order by day, sid rows between unbounded preceding and 1 preceding)")
-def prior_history_features(spark, d):
-    u = leads(spark, d).groupBy("event", "sid", "day").agg(F.min("conf").alias("conf"))
-    h = A.history(u, "event", ["day", "sid"])
-    return h.select("event", "sid", "prior_count", F.col("days_since").cast("long").alias("days_since"), "conf", "day", "prior_conf")
-
-
 @query(f"with {LEADS}, c as ({CELL.format(by='arm, event,', v=FWGS['v3'], w='lead between 1 and 180')}), r as (select arm, event, row_number() over (partition by arm order by fwgs desc, event) as rk from c) select a.rk, a.event as event_a, b.event as event_b, a.event = b.event as agree from r a join r b on a.rk = b.rk and a.arm = 'F' and b.arm = 'O'")
 def rank_agreement(spark, d):
     c = A.cell(A.pre_onset(leads(spark, d)), ["arm", "event"])
@@ -531,3 +464,7 @@ def answers(spark, d) -> DataFrame:
 def parse_llm_json(spark, d):
     j = X.answer_json(F.col("raw"))
     return answers(spark, d).select("event_id", F.get_json_object(j, "$.k").cast("int").alias("k"), F.size(X.missing_keys(j, ["k", "confidence"])).alias("n_missing"))
+
+
+# The modules below register their queries in the same catalog.
+from augury.plans import attribution, decision, learning, resampling  # noqa: E402, F401

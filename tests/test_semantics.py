@@ -1,14 +1,20 @@
 """Known cases of the matching rules, calibration and text functions."""
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from augury.functions import text as X
+from augury.operators import attribution as T
 from augury.operators import corpus as C
+from augury.operators import decision as D
+from augury.operators import history as H
 from augury.operators import match as M
 from augury.operators import metrics as A
+from augury.operators import resampling as B
 from augury.sources import io
 
 
@@ -34,14 +40,93 @@ def test_bin_edges_are_literals(spark):
     assert {r.bin: r.n for r in A.bins(df).collect()} == {i: 1 + (i == 9) for i in range(10)}
 
 
-def test_auc_is_symmetric(spark):
-    df = spark.createDataFrame([(0.1, True), (0.5, False), (0.5, True), (0.9, True), (0.9, False)], "s double, y boolean")
-    a, b = A.auc(df, "s", F.col("y")).first().auc, A.auc(df, "s", ~F.col("y")).first().auc
-    assert a == pytest.approx(2.5 / 6 - 0.0, abs=0.2) and a + b == pytest.approx(1)
-
-
-def test_recall_identity():
-    assert 229 / (229 / 0.9 + 55) == pytest.approx(0.740036, abs=1e-6)
+def test_auc_and_average_precision_by_hand(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(s), bool(y)) for s, y in zip(rng.integers(0, 40, 300) / 7, rng.integers(0, 2, 300), strict=True)]
+    df = spark.createDataFrame(rows, "s double, y boolean")
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    expected = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])
+    assert A.auc(df, "s", F.col("y")).first().auc == pytest.approx(expected, abs=1e-6) and A.auc(df, "s", ~F.col("y")).first().auc == pytest.approx(1 - expected, abs=1e-6)
+    ap = sum(sum(y for s, y in rows if s == x) / len(pos) * np.mean([y for s, y in rows if s >= x]) for x in {s for s, _ in rows})
+    assert A.average_precision(df, "s", "y").first().ap == pytest.approx(ap, abs=1e-6)
+
+
+def test_strict_and_loose_hits_of_one_event(spark):
+    """Made-up signals of one event, with the outcome that the rules publish for them."""
+    rows = [
+        ("S1", "2023-11-05", "forward_looking", ["oil"], ["Red Sea"], ["Maersk"]), ("S2", "2023-10-20", "latent", ["containerized goods"], ["Suez Canal"], []),
+        ("S2b", "2023-10-15", "forward_looking", ["coffee"], ["Brazil"], ["Maersk"]), ("S3", "2023-11-10", "confirmation", ["oil"], ["Red Sea"], []),
+        ("S4", "2023-11-25", "forward_looking", ["oil"], ["Red Sea"], []), ("S5", "2023-11-01", "forward_looking", ["coffee"], ["Brazil"], []), ("S6", "2023-04-01", "forward_looking", ["oil"], ["Red Sea"], []),
+    ]
+    signals = spark.createDataFrame(rows, "id string, day string, label string, good array<string>, geo array<string>, co array<string>").withColumn("day", F.to_date("day"))
+    truth = spark.createDataFrame([("red_sea", "2023-11-19", ["oil", "LNG"], ["Red Sea", "Suez", "Yemen"], ["Maersk", "MSC"])], "event string, onset string, t_good array<string>, t_geo array<string>, t_co array<string>").withColumn("onset", F.to_date("onset"))
+    s = M.with_verdicts(signals.where(F.col("label").isin(*X.FORWARD)), truth, "id", ["co", "geo", "good"], ["t_co", "t_geo", "t_good"])
+    lead = X.lead_days(F.col("onset"), F.col("day"))
+    j = s.join(truth, lead.between(1, 180)).withColumn("lead", lead)
+    n = {c: M.matched_values(F.col(f"t_{c}"), F.col("m")[i]["sub"]) > 0 for i, c in enumerate(("co", "geo", "good"))}
+    strict = {r.id: r.lead for r in j.where(n["co"] | (n["geo"] & n["good"])).collect()}
+    loose = {r.id for r in j.where(n["co"] | n["geo"] | n["good"]).collect()}
+    assert strict == {"S1": 14, "S2b": 35} and loose == {"S1", "S2", "S2b"}
+
+
+def test_verdicts_are_those_of_the_pairs(spark):
+    a = [["UAW", "steel  mill", " ", None, ""], ["christopher steele"], ["Gm"], None, []]
+    b = [["United Auto Workers", "steel", "steel"], ["General Motors", "every thing", "é"]]
+    s = spark.createDataFrame(list(enumerate(a)), "id int, v array<string>")
+    t = spark.createDataFrame(list(enumerate(b)), "t int, w array<string>")
+    pairs = (("x_sub", M.is_substring), ("x_loose", M.is_loose), ("x_word", M.is_words))
+    rows = M.with_verdicts(s, t, "id", ["v"], ["w"]).crossJoin(t).select("id", "t", *[M.matched_values(F.col("w"), F.col("m")[0][k]).alias(k) for k in M.TESTS], *[M.hits(F.col("v"), F.col("w"), f).alias(n) for n, f in pairs]).collect()
+    assert all((r["sub"], r["loose"], r["word"]) == (r.x_sub, r.x_loose, r.x_word) for r in rows) and any(r.loose > r["sub"] for r in rows)
+
+
+def test_costs_by_hand(spark):
+    rows = [("a", 0.9, True, 60), ("a", 0.4, False, 10), ("b", 0.8, False, 5), ("c", 0.3, True, 30), ("d", 0.1, False, 1)]
+    df = spark.createDataFrame(rows, "event string, conf double, is_tp boolean, lead int")
+    grid = [0.35, 0.85, 0.95]
+    events = df.select("event").distinct()
+    t = {r.theta: r.cost for r in D.costs(D.pooled(D.fired(df, grid), events, grid)).collect()}
+    left = 1 - 0.8 * (1 - math.exp(-1))
+    assert t[0.35] == pytest.approx(0.5 * (2 / 3 * 0.05 + 1 / 3 * left) + 0.5) and t[0.85] == pytest.approx(0.25 * left + 0.75) and t[0.95] == 1.0
+    # Without b, only a fires: at 0.35 a hit and a false alarm, at 0.85 the hit alone.
+    best = {r.event: (r.theta, r.fired) for r in D.held_out_choice(D.fired(df, grid), events, grid).collect()}
+    assert best["b"] == ((0.35, 1) if 0.5 * 0.05 + 0.5 * left < left else (0.85, 0)) and best["a"][0] == 0.35
+    assert [r[0] for r in spark.createDataFrame([(5, 0), (-1, 0), (1, -3), (-3, -2)], "t int, f int").select(D.break_even(F.col("t"), F.col("f"))).collect()] == [math.inf, math.inf, 0.0, 1.5]
+
+
+def test_two_stage_bootstrap_covers_the_share(spark):
+    df = spark.createDataFrame([(i % 12, i % 3 == 0) for i in range(600)], "event int, is_tp boolean")
+    r = B.interval(B.two_stage_shares(df, "event", "is_tp", 400), "share").first()
+    assert r.n == 400 and r.lo < 1 / 3 < r.hi and 0.02 < r.hi - r.lo < 0.6
+
+
+def test_logistic_is_the_penalised_optimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2)) * [1, 5] + [0, 3]
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c), i % 3) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, y int, g int")
+    got = {r.feature: r.coef for r in H.coefficients(df, ["a", "b"], "y").collect()}
+    z = np.c_[(x - x.mean(0)) / x.std(0), np.ones(60)]
+    w, penalty = np.zeros(3), np.diag([1, 1, 0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
+    assert got["a"] == pytest.approx(w[0], abs=1e-3) and got["b"] == pytest.approx(w[1], abs=1e-3)
+    assert H.held_out_scores(df, ["a", "b"], "y", "g").count() == 60
+    assert {r.score for r in H.held_out_scores(df.where("g < 2").limit(5), ["a"], "y", "g").collect()} == {0.5}
+
+
+def test_history_over_months(spark):
+    rows = [("e", i, f"2024-{1 + i // 3:02d}-{1 + i % 3:02d}", float(i)) for i in range(9)] + [("f", 1, "2024-01-01", 2.0)]
+    df = spark.createDataFrame(rows, "k string, i int, d string, v double").withColumn("d", F.to_date("d"))
+    got = {(r.k, r.i): (r.prior_count, r.days_since, r.mv) for r in H.history(df, "k", "d", "i", {"v": "mv"}).collect()}
+    assert got["e", 0] == (0, 0, 0.0) == got["f", 1] and got["e", 3] == (3, 29, 1.0) and got["e", 8] == (8, 1, 3.5)
+
+
+def test_first_window_wins(spark):
+    e = spark.createDataFrame([("x", 2, "2024-01-01"), ("y", 1, "2024-01-03"), ("z", 3, None)], "event string, o int, s string").withColumn("s", F.to_date("s"))
+    r = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in (1, 2, 3, 5, 9)] + [(None,)], "day string").withColumn("day", F.to_date("day"))
+    got = [(str(x.day)[-2:], x.event) for x in T.attributed(r, "day", T.first_windows(e, "event", "o", "s", 2), "event", "UNMATCHED").orderBy("day").collect()]
+    assert got == [("ne", "UNMATCHED"), ("01", "x"), ("02", "x"), ("03", "y"), ("05", "y"), ("09", "UNMATCHED")]
 
 
 @pytest.mark.parametrize(("raw", "signals"), [('{"signals": []}', True), ('```json\n{"signals": [1]}\n```', True), ('<think>{x}</think>{"signals": []}', True), ('text {"signals": []} more', True), ("no braces", None), ("{}", False)])
