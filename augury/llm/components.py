@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from augury.llm.common import stored
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b long) to rows (node, component): the smallest node reachable. Nodes are those of the edges.
 
     Each round links every node's larger neighbours to the smallest neighbour (large star), then every node's smaller neighbours and the node itself
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, seen = stored(e, "cc"), None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -28,4 +28,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = state
-    raise RuntimeError(f"no fixed point in {most_rounds} rounds")

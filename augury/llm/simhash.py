@@ -277,17 +277,23 @@ def candidate_edges(distinct: DataFrame, rows: DataFrame, bits: int, max_distanc
 def link(fps: DataFrame, *, key: str = "doc_id", bits: int = 64, max_distance: int = 4, dense_rows: int = 50_000) -> DataFrame:
     """(key, fp[, keys]) to (key, fp, component_id): the smallest key reachable over fingerprints within ``max_distance`` bits, itself included.
 
-    Rows with equal fingerprints are one node from the start. With no ``keys`` column the block keys of a 64-bit fingerprint are used (exact);
-    with it, candidates are rows that share a key. Null keys stay out; repeated keys are one row each, alike. An empty table gives an empty result.
+    Rows with equal fingerprints are one node from the start, and nodes are fingerprints, so rows that repeat a key link nothing by that. With no ``keys`` column the block keys of a 64-bit
+    fingerprint are used (exact); with it, candidates are rows that share a key, and a fingerprint has the keys of all its rows. Rows with a null key take part: they link others, and their
+    component is null only where no row of it has a key. An empty table gives an empty result.
     """
-    fps = stored(fps.where(F.col(key).isNotNull()), "fp")
+    fps = stored(fps, "fp")
     own = "keys" in fps.columns
-    distinct = fps.groupBy("fp").agg(F.min(key).cast("long").alias("id"), *([F.min("keys").alias("keys")] if own else []))
-    rows = distinct if own else distinct.withColumn("keys", block_keys(F.col("fp")[0], max_distance, bits))
+    node = F.col("fp")[0] if bits == 64 else F.xxhash64("fp")
+    distinct = stored(fps.groupBy("fp").agg(F.min(key).alias("least")).select("fp", node.alias("id"), "least"), "distinct")
+    if own:
+        rows = fps.select("fp", F.explode("keys").alias("k")).distinct().select(node.alias("id"), "fp", F.array("k").alias("keys"))
+    else:
+        rows = distinct.select("id", "fp", block_keys(F.col("fp")[0], max_distance, bits).alias("keys"))
     edges = candidate_edges(distinct, rows, bits, max_distance, dense_rows, bits == 64 and max_distance % 2 == 0 and not own)
     comp = connected_components(edges)
-    of_fp = distinct.select("fp", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.select(key, "fp").join(of_fp, "fp").select(key, "fp", F.col("component_id").cast(fps.schema[key].dataType).alias("component_id"))
+    of_fp = stored(distinct.join(comp.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("component", "id").alias("c")), "of_fp")
+    least = of_fp.groupBy("c").agg(F.min("least").alias("component_id"))
+    return fps.select(key, "fp").join(stored(of_fp.join(least, "c").select("fp", "component_id"), "least"), "fp").select(key, "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, *, text: str, keep: tuple[str, ...], words: int, bits: int = 0, tables: int = 0) -> DataFrame:
