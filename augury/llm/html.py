@@ -261,7 +261,7 @@ def nodes(pages: DataFrame, html: str) -> DataFrame:
                 full = [list(map(float, x.x)) for x in rows]
                 blank = [[0.0 if i in NAMED else v for i, v in enumerate(x)] for x in full]
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([float(x.label) for x in rows] * 2, pa.float64()), pa.array(full + blank, pa.list_(pa.float64())), pa.array([False] * n + [True] * n), pa.array([test] * 2 * n, pa.bool_())], names=["label", "x", "blank", "test"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(x.label) for x in rows] * 2, pa.float64()), pa.array(full + blank, pa.list_(pa.float64())), pa.array([False] * n + [True] * n, pa.bool_()), pa.array([test] * 2 * n, pa.bool_())], names=["label", "x", "blank", "test"])
 
     return pages.select(pages[html].alias("__html"), "__test").mapInArrow(run, "label double, x array<double>, blank boolean, test boolean")
 

@@ -3,14 +3,16 @@
 Patterns (leftmost, non-overlapping, each kind for itself): ``assign`` a credential word, an assignment sign and a value of 12 characters or more; ``access`` an access-key id of
 18 or more; ``hex`` 16 or more lower-case hex digits. Matches that are too short are dropped after matching.
 
-Battery: every run of 20 or more encoding characters that mixes letters and digits and touches no pattern span is a candidate. Its encoding (hex, base32, base36, base62,
-base64) is the smallest alphabet that holds it. Three tests ask whether it may be drawn evenly from that alphabet: chi-squared uniformity, a runs test of the upper and lower half, and
+Battery: every run of 20 or more encoding characters that mixes letters and digits and touches no pattern span is a candidate, and so is every pattern's own value of 20 or more. Its encoding (hex,
+base32, base36, base62, base64) is the smallest alphabet that holds it. Three tests ask whether it may be drawn evenly from that alphabet: chi-squared uniformity, a runs test of the upper and lower half, and
 the serial correlation of neighbours; one that fails any (Bonferroni, level ``even_level``) is no secret. Its likelihood under even drawing, over that under text written in the
 same alphabet (runs of one class of characters, letters by their shares in writing, few digits), gives a p-value against text: under text the ratio has mean one, so it reaches r with
-probability 1 / r at most. A document's candidates then pass by Benjamini-Hochberg at ``fdr``, weighted by length, as
-longer strings carry more evidence. The family is one document, so a row's result depends on that row only.
+probability 1 / r at most. All candidates of the corpus are one family: they pass by Benjamini-Hochberg at ``fdr``, weighted by length, as longer strings carry more evidence. One pass
+counts the p-values by hundredths of their logarithm, from which the level follows (rounded so that it never passes more), and a second one applies it. Values of patterns stay whatever
+the battery says; it says how many of them look random.
 
-Defined results: null or empty text: nothing found; repeated rows alike; an empty table gives an empty result. Offsets are code points, ends exclusive.
+Defined results: null or empty text: nothing found; repeated rows alike, and each counts in the family; null ids are kept; other columns are read only by ``keep``, whatever their names; an empty table
+gives an empty result. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import erfc, exp, log, sqrt
+from math import ceil, erfc, exp, log, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augury.llm.common import small_batches, texts
@@ -93,44 +96,78 @@ def battery(s: str) -> tuple[float, float]:
     return min(1.0, 3 * min(uniform, runs, serial)), exp(-max(0.0, ratio))
 
 
-def discoveries(p: list[float], lengths: list[int], fdr: float) -> list[bool]:
-    """Benjamini-Hochberg over p-values divided by weights in proportion to length, of mean one."""
-    w = np.array(lengths) / np.mean(lengths)
-    q = np.array(p) / w
-    order = np.argsort(q, kind="stable")
-    ok = np.flatnonzero(q[order] <= fdr * np.arange(1, len(q) + 1) / len(q))
-    out = np.zeros(len(q), bool)
-    if len(ok):
-        out[order[: ok[-1] + 1]] = True
-    return out.tolist()
+def place(p: float, length: int) -> int:
+    """Hundredths of the decimal logarithm of a p-value over the length, rounded up."""
+    return int(ceil(100 * (max(-300.0, log10(p) if p > 0 else -300.0) - log10(length))))
 
 
-def scan(t: str, fdr: float = 0.01, even_level: float = 0.001) -> list[tuple[int, int, int]]:
-    """(start, index of kind, end) of every span, in order."""
+def level(counts: dict[int, tuple[int, int]], fdr: float) -> int | None:
+    """The largest place that passes, out of (tests, summed lengths) by place; None if none does."""
+    n, total = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    passed, seen = None, 0
+    for at in sorted(counts):
+        seen += counts[at][0]
+        if 10 ** (at / 100) * total / n <= fdr * seen / n:  # p / weight, weights being lengths over their mean
+            passed = at
+    return passed
+
+
+def patterns(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """((start, index of kind, end) of the patterns' spans, their values' (start, end), and the runs that may be secrets and touch no span)."""
     found: list[tuple[int, int, int]] = []
+    values: list[tuple[int, int]] = []
     if ":" in t or "=" in t:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        for m in ASSIGN.finditer(t):
+            if len(m[2]) >= 12:
+                found.append((m.start(), 0, m.end()))
+                values.append(m.span(2))
     at, runs = 0, []
     for c in t.split():
         if len(c) >= 16:
             at = t.index(c, at)
-            found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(c)]
+            own = [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(c)]
             if len(c) >= 18:
-                found += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(c) if m.end() - m.start() >= 18]
+                own += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(c) if m.end() - m.start() >= 18]
                 if len(c) >= 20 and not c.isalpha():
                     runs += [(at + m.start(), at + m.end()) for m in RUN.finditer(c)]
+            found += own
+            values += [(a, b) for a, _, b in own]
             at += len(c)
-    rest = []
-    for a, b in runs:
-        s = t[a:b]
-        if any(x.isdigit() for x in s) and any(x.isalpha() for x in s) and not any(x < b and a < y for x, _, y in found):
-            even, p = battery(s)
-            if even >= even_level:
-                rest.append((a, b, p))
-    if rest:
-        ok = discoveries([p for _, _, p in rest], [b - a for a, b, _ in rest], fdr)
-        found += [(a, 3, b) for (a, b, _), keep in zip(rest, ok, strict=True) if keep]
-    return sorted(found)
+    if runs:
+        runs = [(a, b) for a, b in runs if any(x.isdigit() for x in t[a:b]) and any(x.isalpha() for x in t[a:b]) and not any(x < b and a < y for x, _, y in found)]
+    return found, [(a, b) for a, b in values if b - a >= 20], runs
+
+
+def tested(s: str, even_level: float) -> int:
+    """A string's ``place`` by the battery; what fails the tests of evenness, or isn't in any encoding, has a p-value of 1."""
+    if not RUN.fullmatch(s):
+        return place(1.0, len(s))
+    even, p = battery(s)
+    return place(p if even >= even_level else 1.0, len(s))
+
+
+def counted(t: str, even_level: float, counts: dict[int, tuple[int, int]]) -> None:
+    """Add a text's tests to ``counts``."""
+    _, values, runs = patterns(t)
+    for a, b in values + runs:
+        x = tested(t[a:b], even_level)
+        n, total = counts.get(x, (0, 0))
+        counts[x] = (n + 1, total + b - a)
+
+
+def scan(t: str, passed: int | None = None, even_level: float = 0.001, fdr: float = 0.01, alone: bool = True) -> tuple[list[tuple[int, int, int]], int]:
+    """((start, index of kind, end) of every span in order, how many of the patterns' values are random) at the family's level ``passed``; ``alone``: the text is the family."""
+    found, values, runs = patterns(t)
+    if not values and not runs:
+        return sorted(found), 0
+    if alone:
+        counts: dict[int, tuple[int, int]] = {}
+        counted(t, even_level, counts)
+        passed = level(counts, fdr)
+    if passed is None:
+        return sorted(found), 0
+    found += [(a, 3, b) for a, b in runs if tested(t[a:b], even_level) <= passed]
+    return sorted(found), sum(tested(t[a:b], even_level) <= passed for a, b in values)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -147,21 +184,38 @@ def redacted(t: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
     return "".join([*out, t[last:]])
 
 
+def family_level(docs: DataFrame, *, text: str = "text", fdr: float = 0.01, even_level: float = 0.001) -> int | None:
+    """``level`` of all the candidates of all texts: at most some 30,000 counts come to the driver, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, tuple[int, int]] = {}
+        for b in small_batches(batches, "__text"):
+            for t in texts(b, "__text"):
+                counted(t, even_level, counts)
+        rows = [(at, *c) for at, c in counts.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["at", "n", "total"])
+
+    c = docs.select(docs[text].alias("__text")).mapInArrow(run, "at long, n long, total long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return level({r["at"]: (r["n"], r["total"]) for r in c.collect()}, fdr)
+
+
 def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = 0.01, even_level: float = 0.001, redact: bool = False) -> DataFrame:
-    """Columns ``keep`` with n_assign, n_access, n_hex, base_sha256 and spans, and with ``redact`` the text without its secrets as ``redacted``."""
+    """Columns ``keep`` with n_assign, n_access, n_hex, base_sha256, spans and n_random_base (values of patterns that the battery calls random), and with ``redact`` the text without its secrets as ``redacted``."""
+    passed = family_level(docs, text=text, fdr=fdr, even_level=even_level)
     fields = [docs.schema[c] for c in keep]
     long, string = T.LongType(), T.StringType()
-    names = [("n_assign", long), ("n_access", long), ("n_hex", long), ("base_sha256", string), ("spans", string)] + [("redacted", string)] * redact
+    names = [("n_assign", long), ("n_access", long), ("n_hex", long), ("base_sha256", string), ("spans", string), ("n_random_base", long)] + [("redacted", string)] * redact
     schema = T.StructType(fields + [T.StructField(n, t) for n, t in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "__text"):
             rows = []
             for t in texts(b, "__text"):
-                spans = scan(t, fdr, even_level)
+                spans, random = scan(t, passed, even_level, alone=False)
                 base = [s for s in spans if s[1] < 3]
                 count = [sum(s[1] == k for s in base) for k in range(3)]
-                rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), *([redacted(t, spans)] if redact else [])))
+                rows.append((*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), random, *([redacted(t, spans)] if redact else [])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in zip(*rows, strict=True))], names=schema.names)
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
