@@ -4,11 +4,12 @@ Token n-grams that a document shares with a test item, found by Karp-Rabin hashe
 unmarked match is marked, again and again, until none of ``min_match`` tokens is left. The share of the item's tokens under marks is its coverage; as tiles may lie in any
 order, reordered passages count in full. Pairs of ``coverage`` or more come out.
 
-The test items are a stated query set: they go to the tasks in blocks of at most ``block_bytes`` of text, each block a pass over all documents, so nothing that is broadcast grows without
-bound. Tokens are runs of word characters, in lower case.
+The test items are a stated query set: they go to the tasks in blocks of at most ``block_bytes`` of text, each block a pass over all documents. Blocks run one after the other and their results are
+stored, so neither the driver nor a task holds more than one. Tokens are runs of word characters, in lower case.
 
 Defined results: null or empty texts and items match nothing; items shorter than ``min_match`` tokens are matched whole; repeated rows give repeated pairs; items with equal
-texts are each reported; an empty table on either side gives an empty result.
+texts are each reported; null ids are reported as null; of equal matches the earlier one in the item is marked first; columns of other names are not read, and ``item_key`` and ``key`` may not be the
+same name; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augury.llm.common import small_batches, texts
+from augury.llm.common import small_batches, stored, texts
 
+#: Beyond so many seeds of a text and an item, their matches are found without listing them.
+MOST_SEEDS = 1 << 16
 TOKEN = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,19 +48,37 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
-    """(place in item, place in doc, length) of greedy tiles. ``seeds``: all (doc, item) places that share ``n`` tokens."""
+def joined(seeds: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+    """(-length, place in item, diagonal) of the maximal matches out of all (doc, item) places that share ``n`` tokens."""
     runs: dict[int, list[int]] = {}
     for d, p in sorted(seeds):
         runs.setdefault(d - p, []).append(p)
-    heap = []
+    out = []
     for diagonal, ps in runs.items():
         start = last = ps[0]
         for p in [*ps[1:], None]:
             if p is None or p > last + 1:
-                heap.append((-(last - start + n), start, diagonal))
+                out.append((-(last - start + n), start, diagonal))
                 start = p
             last = p
+    return out
+
+
+def scanned(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """The same matches, diagonal by diagonal: for texts that repeat themselves so much that their seeds are far more than their matches. Memory follows doc and item, not their product."""
+    out = []
+    for diagonal in range(n - len(item), len(doc) - n + 1):
+        lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (doc[lo + diagonal : hi + diagonal] == item[lo:hi]).view(np.int8), [0]))))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= n:
+                out.append((a - b, lo + a, diagonal))
+    return out
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, matches: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """(place in item, place in doc, length) of greedy tiles out of maximal ``matches``; among equal lengths the earlier place in the item goes first, then the smaller diagonal."""
+    heap = list(matches)
     heapq.heapify(heap)
     used_p, used_d, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while heap:
@@ -96,22 +117,31 @@ class Items:
         """(item id, coverage, tiles) of every item that the text covers enough of."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        at_doc: dict[int, list[tuple[np.ndarray, list[int]]]] = {}  # by item: (places in the text, places in the item) of each seed that both have
         for n, (hashes, places) in self.places.items():
             h = rolled(ids, n)
             if not len(h):
                 continue
             at = np.searchsorted(hashes, h)
-            for d in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == h).tolist():
-                for i, p in places[int(h[d])]:
-                    if (self.items[i][1][p : p + n] == ids[d : d + n]).all():
-                        seeds.setdefault(i, []).append((d, p))
+            hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == h)
+            order = hit[np.argsort(h[hit], kind="stable")]
+            cut = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True]))) if len(order) else []
+            for x, y in zip(cut[:-1], cut[1:], strict=True) if len(order) else ():
+                d, by_item = order[x:y], {}
+                for i, p in places[int(h[d[0]])]:
+                    by_item.setdefault(i, []).append(p)
+                for i, ps in by_item.items():
+                    at_doc.setdefault(i, []).append((d, ps))
         out = []
-        for i, s in seeds.items():
+        for i, shared in at_doc.items():
             item_id, item, n = self.items[i]
-            if len({p for _, p in s}) * n < coverage * len(item):
+            if sum(len(ps) for _, ps in shared) * n < coverage * len(item):
                 continue  # its seeds can't cover enough
-            got = tiles(ids, item, s, n)
+            if sum(len(d) * len(ps) for d, ps in shared) > MOST_SEEDS:
+                found = scanned(ids, item, n)
+            else:
+                found = joined([(d, p) for ds, ps in shared for d in ds.tolist() for p in ps if (item[p : p + n] == ids[d : d + n]).all()], n)
+            got = tiles(ids, item, found, n)
             share = sum(x[2] for x in got) / len(item)
             if share >= coverage:
                 out.append((item_id, share, ",".join(f"{p}:{d}:{k}" for p, d, k in got)))
@@ -126,7 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key:
     given = docs.select(key, docs[text].alias("__text"))
 
     def block(i: int) -> DataFrame:
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(item_key), F.lit(n_blocks)) == i).select(item_key, item_text).orderBy(item_key).collect()]
+        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(n_blocks)) == i).select(item_key, item_text).orderBy(item_key).collect()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = Items(rows, min_match)
@@ -138,4 +168,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key:
 
         return given.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(block, range(n_blocks)))
+    if n_blocks == 1:
+        return block(0)
+    return reduce(DataFrame.unionByName, [stored(block(i), "tiled") for i in range(n_blocks)])

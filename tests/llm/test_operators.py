@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out labels, with nulls, empty texts, repeats, ties and empty tables."""
 
 import hashlib
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -248,3 +249,101 @@ def test_reordered_passages_count(spark):
     items = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
     got = {r.doc_id: r.coverage for r in decontaminate.contaminated(docs(spark, with_extras(texts)), items).collect()}
     assert got == {0: 1.0, 1: 1.0}
+
+
+def brute_tiles(doc, item, n):
+    """Repeatedly the longest common unmarked run; ties by place in the item, then by diagonal."""
+    used_d, used_p, out = set(), set(), []
+    while True:
+        best = None
+        for p in range(len(item)):
+            for d in range(len(doc)):
+                k = 0
+                while p + k < len(item) and d + k < len(doc) and item[p + k] == doc[d + k] and p + k not in used_p and d + k not in used_d:
+                    k += 1
+                if k >= n and (best is None or (-k, p, d - p) < best):
+                    best = (-k, p, d - p)
+        if best is None:
+            return sorted(out)
+        k, p, g = best
+        out.append((p, p + g, -k))
+        used_p |= set(range(p, p - k))
+        used_d |= set(range(p + g, p + g - k))
+
+
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_tiles_are_those_of_brute_force(monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_SEEDS", most)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        item, doc = (" ".join(rng.choice(list("abc"), k)) for k in (int(rng.integers(1, 14)), int(rng.integers(0, 40))))
+        n = min(3, len(item.split()))
+        expected = brute_tiles(doc.split(), item.split(), n)
+        got = decontaminate.Items([(1, item)], 3).matches(doc, 0.01)
+        assert [t for _, _, t in got] == ([",".join(f"{p}:{d}:{k}" for p, d, k in expected)] if expected else [])
+
+
+def test_contamination_in_blocks_of_repetitive_items(spark):
+    item = "the " * 30
+    rows = [(1, "the " * 20_000), (None, item), (3, None), (3, "")]
+    items = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [(k, t, "x", "y") for k, t in rows]), items, block_bytes=200).select("doc_id", "item_id", "coverage").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(k, i, 1.0) for k in (1, None) for i in (7, 7, None)], key=repr)
+    assert decontaminate.contaminated(docs(spark, []), items).count() == decontaminate.contaminated(docs(spark, [(1, item, "", "")]), items.limit(0)).count() == 0
+
+
+def test_extraction_without_names_and_in_linear_time():
+    began = time.process_time()
+    html.measured(html.parse("<div>" + "<p>x y z</p>" * 8000 + "</div>"))
+    html.measured(html.parse("<div>" * 8000 + "x" + "</b></p>" * 8000))
+    assert time.process_time() - began < 4
+
+
+def test_extraction_learns_the_shape_of_pages(spark):
+    menu = "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate(WORDS[:6]))
+    page = f"<html><body><nav><ul>{menu}</ul></nav><div class='ad'>{prose(6)}</div><article><h1>{{}}</h1><p>{{}}</p><p>{{}}</p></article><footer>{prose(5)}</footer></body></html>"
+    pages = spark.createDataFrame([(i, "u", page.format(prose(5), prose(40), prose(30))) for i in range(60)], "page_id long, url string, html string")
+    got = html.accuracy(pages)
+    assert got[False] == 1.0 and got[True] > 0.9
+    plain = f"<html><body><div><ul>{menu}</ul></div><div><h1>head</h1><p>{prose(40)}</p><p>{prose(30)}</p></div></body></html>"
+    text = html.extract(spark.createDataFrame([(1, "u", plain)], "page_id long, url string, html string"), html.fit(pages)).first().text
+    assert text.startswith("head\n\n") and text.count("\n\n") == 2
+
+
+def test_quality_of_wordless_texts_and_one_grade(spark):
+    d = docs(spark, with_extras([prose(20) if i % 2 else "### " + prose(20).replace(" ", "# ") for i in range(80)] + [None, "", " "]))
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (3000, None)], "doc_id long, grade int")
+    rows = quality.Quality(iterations=15).fit(d, ratings).score(d).where("doc_id >= 80").collect()
+    assert [(r.expected_grade, r.tail) for r in rows] == [(0.0, [0.0])] * 3
+    one = quality.Quality().fit(d, ratings.where("grade = 1")).score(d).collect()
+    assert {r.expected_grade for r in one} == {1.0}
+    assert {r.expected_grade for r in quality.Quality().fit(d, ratings.limit(0)).score(d.limit(3)).collect()} == {None}
+    assert quality.Quality().fit(d, ratings.limit(0)).score(d.limit(0)).count() == 0
+
+
+def test_quality_gradient_is_that_of_its_likelihood():
+    rng = np.random.default_rng(5)
+    x, c, w, free = rng.normal(size=(30, 4)), rng.integers(0, 4, 30), rng.normal(size=4), np.array([-1.0, 0.2, -0.3])
+    got, v = quality.likelihood(x, c, w, free), np.concatenate((w, free))
+    f = lambda v: quality.likelihood(x, c, v[:4], v[4:])[0]
+    near = [(f(v + e) - f(v - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+    assert np.allclose(got[1:], near, atol=1e-4) and (np.diff(quality.ordered(free)) > 0).all()
+
+
+def test_secrets_of_a_corpus_are_one_family(spark):
+    rng = np.random.default_rng(6)
+    key = lambda n: "".join(rng.choice(list(secrets.ENCODINGS[5][1]), n))
+    keys = [key(32) for _ in range(30)]
+    texts = [f"see {k} there" for k in keys] + [f"password={key(40)}", "token: aaaaaaaaaaaaaaaaaaaaaaaa", None, ""] + ["xmlHttpRequestFactoryImpl2Bean and HTTP2SERVERPUSHENABLED"] * 20
+    got = {r.doc_id: r for r in secrets.find(docs(spark, with_extras(texts))).collect()}
+    assert sum(got[i].spans == f"random:4:{4 + len(keys[i])}" for i in range(30)) >= 27
+    assert (got[30].n_random_base, got[31].n_random_base) == (1, 0) and all(got[i].spans == "" for i in range(32, 54))
+    assert secrets.find(docs(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids_in_components(spark):
+    f = [0, 1, 1 << 40 | 1 << 41 | 1 << 42 | 1 << 43 | 1 << 44 | 1 << 45]
+    rows = [(5, [f[0]]), (None, [f[1]]), (5, [f[2]]), (9, [f[2]]), (None, [-1]), (None, [f[0]])]
+    got = [(r.doc_id, r.fp[0], r.component_id) for r in simhash.link(spark.createDataFrame(rows, "doc_id long, fp array<long>")).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 0, 5), (None, 1, 5), (None, 0, 5), (5, f[2], 5), (9, f[2], 5), (None, -1, None)], key=repr)
+    assert simhash.link(spark.createDataFrame([], "doc_id long, fp array<long>")).count() == 0
