@@ -128,10 +128,10 @@ def ordered(free: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate((free[:1], np.exp(np.clip(free[1:], -30, 30)))))
 
 
-def likelihood(x: np.ndarray, c: np.ndarray, weights: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """(negative log likelihood, its gradient by weights and free thresholds) summed over rows of features ``x`` and grade places ``c``."""
+def likelihood(eta: np.ndarray, c: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log likelihood, its slope by each row's ``eta``, its gradient by free thresholds) summed over rows with grade places ``c``."""
     t = ordered(free)
-    eta, k = x @ weights, len(t)
+    k = len(t)
     at = lambda i: 1 / (1 + np.exp(-np.clip(eta - t[np.clip(i, 0, k - 1)], -40, 40)))
     over, under = np.where(c > 0, at(c - 1), 1.0), np.where(c < k, at(c), 0.0)
     p = np.maximum(over - under, 1e-12)
@@ -140,8 +140,7 @@ def likelihood(x: np.ndarray, c: np.ndarray, weights: np.ndarray, free: np.ndarr
     np.add.at(by_t, np.clip(c - 1, 0, k - 1), np.where(c > 0, slope_over, 0))
     np.add.at(by_t, np.clip(c, 0, k - 1), np.where(c < k, -slope_under, 0))
     tail = np.cumsum(by_t[::-1])[::-1]  # a gap moves all thresholds from its own on
-    by_free = np.concatenate((tail[:1], tail[1:] * np.exp(np.clip(free[1:], -30, 30))))
-    return np.concatenate(([-np.log(p).sum()], -(slope_over - slope_under) @ x, by_free))
+    return float(-np.log(p).sum()), slope_under - slope_over, np.concatenate((tail[:1], tail[1:] * np.exp(np.clip(free[1:], -30, 30))))
 
 
 class Quality:
@@ -183,9 +182,10 @@ class Quality:
             features = Features(n_features, n_terms, places)
             for b in small_batches(batches, "__text", 1 << 20):
                 c = np.searchsorted(grades, b.column("__grade").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array([features.vector(t).astype("<f4").tobytes() for t in texts(b, "__text")], pa.binary())], names=["c", "x"])
+                at, value = zip(*((np.flatnonzero(v), v[v != 0]) for v in map(features.vector, texts(b, "__text"))), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["c", "at", "value"])
 
-        x = stored(rows.mapInArrow(measured, "c int, x binary"), "quality").coalesce(8)
+        x = stored(rows.mapInArrow(measured, "c int, at array<int>, value array<float>"), "quality").coalesce(8)
         n, k = x.count(), len(grades) - 1
         start = np.array([r[1] for r in sorted(x.groupBy("c").count().collect())], float)
         odds = np.clip(1 - np.cumsum(start)[:-1] / n, 1e-6, 1 - 1e-6)  # P(grade > k) without features
@@ -198,9 +198,11 @@ class Quality:
             def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(1 + width + k)
                 for b in batches:
-                    if b.num_rows:
-                        f = np.frombuffer(b"".join(b.column("x").to_pylist()), "<f4").reshape(b.num_rows, width)
-                        total += likelihood(f, b.column("c").to_numpy(), weights, free)
+                    row = np.repeat(np.arange(b.num_rows), b.column("at").value_lengths().to_numpy(zero_copy_only=False))
+                    at, value = (b.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("at", "value"))
+                    eta = np.bincount(row, value * weights[at], minlength=b.num_rows)
+                    loss, slope, by_free = likelihood(eta, b.column("c").to_numpy(zero_copy_only=False), free)
+                    total += np.concatenate(([loss], np.bincount(at, value * slope[row], minlength=width), by_free))
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
             total = sum(np.frombuffer(r[0]) for r in x.mapInArrow(one, "g binary").collect()) / n  # one gradient a task, eight tasks at most

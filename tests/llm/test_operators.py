@@ -324,10 +324,10 @@ def test_quality_of_wordless_texts_and_one_grade(spark):
 def test_quality_gradient_is_that_of_its_likelihood():
     rng = np.random.default_rng(5)
     x, c, w, free = rng.normal(size=(30, 4)), rng.integers(0, 4, 30), rng.normal(size=4), np.array([-1.0, 0.2, -0.3])
-    got, v = quality.likelihood(x, c, w, free), np.concatenate((w, free))
-    f = lambda v: quality.likelihood(x, c, v[:4], v[4:])[0]
+    (_, slope, by_free), v = quality.likelihood(x @ w, c, free), np.concatenate((w, free))
+    f = lambda v: quality.likelihood(x @ v[:4], c, v[4:])[0]
     near = [(f(v + e) - f(v - e)) / 2e-6 for e in np.eye(7) * 1e-6]
-    assert np.allclose(got[1:], near, atol=1e-4) and (np.diff(quality.ordered(free)) > 0).all()
+    assert np.allclose(np.concatenate((slope @ x, by_free)), near, atol=1e-4) and (np.diff(quality.ordered(free)) > 0).all()
 
 
 def test_secrets_of_a_corpus_are_one_family(spark):
