@@ -467,4 +467,4 @@ def parse_llm_json(spark, d):
 
 
 # The modules below register their queries in the same catalog.
-from augury.plans import attribution, decision, learning, resampling  # noqa: E402, F401
+from augury.plans import attribution, decision, learning, resampling, worksheets  # noqa: E402, F401

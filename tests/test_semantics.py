@@ -15,6 +15,7 @@ from augury.operators import history as H
 from augury.operators import match as M
 from augury.operators import metrics as A
 from augury.operators import resampling as B
+from augury.operators import worksheets as W
 from augury.sources import io
 
 
@@ -162,3 +163,43 @@ def test_last_wins_and_best_body(spark):
     assert {r.k: r.v for r in C.last_wins(df, "k", ["o"]).collect()} == {"k": "b", "m": None}
     b = spark.createDataFrame([("k", 900, True, 1), ("k", 300, False, 2), ("k", 300, False, 3)], "k string, n int, junk boolean, o int")
     assert C.best_body(b, "k", F.col("junk"), F.col("n"), "o").first().o == 2
+
+
+def test_backfill_needs_every_key(spark):
+    source = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    rows = spark.createDataFrame([(1, " "), (2, "z"), (1, None)], "k int, v string")
+    assert sorted(r.v for r in W.backfilled(rows, source, "k", "v").collect()) == ["x", "x", "z"]
+    with pytest.raises(Exception, match="no source row"):
+        W.backfilled(spark.createDataFrame([(3, "kept")], "k int, v string"), source, "k", "v").collect()
+
+
+def test_day_slots_of_empty_ranges(spark):
+    r = spark.sql("select * from values ('a', date'2024-01-01', date'2024-01-03'), ('b', date'2024-01-05', date'2024-01-05'), ('c', date'2024-01-05', date'2024-01-01'), ('d', null, date'2024-01-01') as t(k, s, e)")
+    assert [x.stamp for x in W.day_slots(r, "s", "e", ("00", "12")).orderBy("stamp").collect()] == ["2024010100", "2024010112", "2024010200", "2024010212"]
+    assert W.day_plan(r, "k", "s", "e").count() == 2
+
+
+def test_extended_sample_keeps_judged_rows(spark):
+    rows = spark.createDataFrame([("e", i, i < 5) for i in range(20)] + [("f", 100 + i, True) for i in range(3)], "event string, sid int, hit boolean")
+    out = W.extended_sample(rows, rows.where("sid in (0, 19)"), "event", "sid", F.col("hit"), 3, 6).collect()
+    e = [r for r in out if r.event == "e"]
+    assert len(e) == 6 and {r.sid for r in e if r.adjudicated} == {0, 19} and sum(r.sid < 5 for r in e if not r.adjudicated) == 3
+    assert len(out) == 9
+
+
+def test_best_fetch(spark):
+    rows = [("a", "fail", 900, 1), ("a", "ok", 10, 2), ("a", "ok_archive", 20, 3), ("b", "fail", 1, 5), ("b", "fail", 9, 6)]
+    out = {r.k: r.n for r in W.best_fetch(spark.createDataFrame(rows, "k string, status string, size int, n int"), "k", "status", "size", "n").collect()}
+    assert out == {"a": 3, "b": 5}
+
+
+def test_paired_gain_counts_ids_once(spark):
+    a = spark.createDataFrame([("e", 1), ("e", 1), ("e", 2)], "event string, id int")
+    b = spark.createDataFrame([("e", 2), ("e", 3), ("f", 4)], "event string, id int")
+    assert sorted(map(tuple, W.paired_gain(a, b, "event", "id").collect())) == [("e", 2, 2, 1, 1, 0), ("f", 0, 1, 0, 1, 1)]
+
+
+def test_numbers_per_day(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("day"), "id")
+    got = {r.id: r.seq for r in W.numbered_per_day(rows, "day", ["id"], "id", 7).collect()}
+    assert got == {i: i // 2 + 1 for i in range(1000)}
