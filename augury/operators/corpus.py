@@ -48,7 +48,7 @@ def schema_fate(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFra
 
 def stratified(df: DataFrame, strata: list[str], key: str, k: int, seed: int = 42) -> DataFrame:
     """Up to k rows of each stratum in an arithmetic random order of their integer keys; the window keeps k rows per task before its shuffle."""
-    order = (F.col(key) * 1103515245 + F.lit(seed) * 12345) % 2147483647
+    order = (F.col(key).cast("long") % 2147483647 * 1103515245 + F.lit(seed) * 12345) % 2147483647
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))).where(F.col("rn") <= k)
 
 
