@@ -55,3 +55,42 @@ select r.doc_id, cast(length(r.text) as bigint) as n_chars, cast(coalesce(p.n_li
 from rows r left join per p on r.doc_id is not distinct from p.doc_id and r.h = p.h left join spans s on r.doc_id is not distinct from s.doc_id and r.h = s.h
   left join all_spans w on r.doc_id is not distinct from w.doc_id and r.h = w.h left join n_shared c on r.doc_id is not distinct from c.doc_id and r.h = c.h
 """
+
+PHRASES = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, sum(len(w)) as n from words group by lang having sum(len(w)) > 0),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, (values (1), (2), (3), (4)) as sizes(k) where len(w) >= k),
+counts as (select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as w from grams group by lang, k, phrase having count(*) >= 30),
+cuts as (
+  select lang, k, phrase, f, unnest(range(1, k)) as cut, w from counts where k > 1),
+scored as (
+  select c.lang, c.phrase, c.f as a, cut, l.f as l, r.f as r, 2000000::hugeint * c.f // (l.f::hugeint + r.f) as score,
+    row_number() over (partition by c.lang, c.phrase order by 2000000::hugeint * c.f // (l.f::hugeint + r.f), cut) as place
+  from cuts c join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:cut], ' ') join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1:c.k], ' ')),
+inner_phrases as (
+  select lang, array_to_string(w[start:start + size - 1], ' ') as phrase, max(f) as longer
+  from (select lang, k, w, f, size, unnest(range(1, k - size + 2)) as start from counts, (values (2), (3)) as sizes(size) where size < k) group by all),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank from scored s left join inner_phrases i on i.lang = s.lang and i.phrase = s.phrase
+  where place = 1 and (i.longer is null or 100::hugeint * i.longer < 80::hugeint * s.a))
+select r.lang, rank, phrase, a, l, r.r as r, cast(n as bigint) as n, cast(score as bigint) as score from ranked r join totals t on t.lang = r.lang where rank <= 2000
+"""
+
+NEGATIVES = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_sum(list_transform(range(1, 1 + least(len(a.v), len(b.v))), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from usable a join usable b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select * from (select *, row_number() over (partition by anchor_id order by score desc, other_id) as place from pairs where same) where place <= 5),
+ranked as (
+  select p.anchor_id, p.other_id as positive_id, n.other_id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id) as rank
+  from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""

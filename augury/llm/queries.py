@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm import bpe, decontaminate, html, lines, oracles, quality, secrets, simhash, suffix, topk, toxicity
+from augury.llm import bpe, decontaminate, html, lines, negatives, oracles, phrases, pii, quality, secrets, simhash, suffix, topk, toxicity
 from augury.llm.common import read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -63,5 +63,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_suffix, op4_html, op5_toxicity, op6_secrets, op7_quality, op8_lines, op9_simhash, op10_decontaminate)}
-SQL = {"op8_lines": oracles.LINES}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"), least=30, longest=4, top=2000, covered=80)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label first becomes (label + 1) % 10; anchors: vec_id divisible by 100."""
+    rows = negatives.labelled(read(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, low=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_topk, op3_suffix, op4_html, op5_toxicity, op6_secrets, op7_quality, op8_lines, op9_simhash, op10_decontaminate, op11_pii, op12_phrases, op13_negatives)}
+SQL = {"op8_lines": oracles.LINES, "op12_phrases": oracles.PHRASES, "op13_negatives": oracles.NEGATIVES}
