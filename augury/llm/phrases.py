@@ -2,11 +2,11 @@
 
 Texts are lower-cased in ASCII and cut into pieces and words. Pass k counts the k-word phrases of each language exactly, and adds every (k+1)-word phrase whose two halves of k words survive to one of
 2^bits buckets, by hash. A position enters pass k only if both its (k-1)-word parts are frequent and its bucket holds ``least`` or more; what is left is counted exactly. Frequent parts are looked up by hash in a bitmap
-too, made of the exact counts of the pass before, so that both things sent to the tasks are bitmaps of 2^bits bits (512 kB), whatever the corpus holds. Collisions only let more phrases
+too, made of the exact counts of the pass before, so that both things sent to the tasks are bitmaps of 2^bits bits (8 MB), whatever the corpus holds. Collisions only let more phrases
 be counted. On corpora with far more pairs than buckets, raise ``bits``: results don't change, the second pass then counts fewer phrases.
 
-Tasks count in their own dictionaries, emptied at ``held`` entries, before anything is shuffled, so a frequent word costs a task one row. Bucket counts stop at ``least`` and travel as bytes, 32,768
-buckets a row. Parts, containers and cuts of the frequent phrases meet by equality joins.
+Tasks count in their own dictionaries, emptied at ``held`` entries, before anything is shuffled, so a frequent word costs a task one row. Bucket counts stop at ``least`` and travel as the places and counts
+of the buckets in use, 32,768 buckets to a row. Parts, containers and cuts of the frequent phrases meet by equality joins.
 
 Defined results: null and empty texts hold no words; a null language is ``und``; repeated rows all count; other columns are not read; an empty table gives an empty result; phrases never cross pieces or
 documents; ties go by the stated order, so the result is unique.
@@ -87,6 +87,14 @@ def alive(ids: np.ndarray, words: np.ndarray, k: int, bits: int, frequent: np.nd
     return ok
 
 
+def blocks_of(sorted_places: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(block, slice) of each run of places that lie in one block."""
+    block = sorted_places >> 15
+    edge = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(block[a]), slice(a, b)
+
+
 def counted(docs: DataFrame, k: int, bits: int, least: int, held: int, frequent: np.ndarray | None, bucket: np.ndarray | None, longest: int) -> DataFrame:
     """One pass: rows (lang, phrase, n) with the counts of k-word phrases a task has met, and (block, counts) with bucket counts of phrases one longer; in the first pass a null phrase holds all words."""
     sc = docs.sparkSession.sparkContext
@@ -108,7 +116,7 @@ def counted(docs: DataFrame, k: int, bits: int, least: int, held: int, frequent:
         known, of_bucket = sent.value if sent else (None, None)
         counts: dict[tuple[str, bytes], int] = {}
         total: dict[str, int] = {}
-        tally = np.zeros(1 << bits, np.int64) if k < longest else None
+        tally = np.zeros(1 << bits, narrow(least)) if k < longest else None
         words: dict[str, tuple[Words, list[bytes], list[int]]] = {}
         for b in small_batches(batches, "text"):
             by_lang: dict[str, list[bytes]] = {}
@@ -138,17 +146,21 @@ def counted(docs: DataFrame, k: int, bits: int, least: int, held: int, frequent:
                         phrase = (lang, b" ".join([names[x] for x in ids[i : i + k].tolist()]))
                         counts[phrase] = counts.get(phrase, 0) + c
                 if tally is not None and len(ok) > 1:
-                    next_hash = rolling(h, k + 1)
-                    tally += np.bincount(buckets(next_hash[ok[:-1] & ok[1:]], bits), minlength=len(tally))
+                    met, n = np.unique(buckets(rolling(h, k + 1)[ok[:-1] & ok[1:]], bits), return_counts=True)
+                    tally[met] = np.minimum(tally[met] + n, least)
                 if len(counts) > held:
                     yield from flushed(counts)
         yield from flushed(counts)
         if total:
             yield rows(list(total), [None] * len(total), list(total.values()))
-        if tally is not None and tally.any():
-            packed = np.minimum(tally, least).astype(narrow(least)).reshape(-1, min(BLOCK, len(tally)))
-            for block in np.flatnonzero(packed.any(1)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([packed[block].tobytes()], pa.binary())], schema=schema)
+        if tally is not None:
+            full = np.flatnonzero(tally)
+            parts = list(blocks_of(full))
+            for at in range(0, len(parts), 128):
+                some = parts[at : at + 128]
+                packed = [(full[x] & (BLOCK - 1)).astype(np.uint16).tobytes() + tally[full[x]].tobytes() for _, x in some]
+                none = pa.nulls(len(some))
+                yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([x for x, _ in some], pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "lang string, phrase string, n long, block int, counts binary")
 
@@ -178,8 +190,14 @@ def assembled(pieces: DataFrame, bits: int, join: Callable[[np.ndarray, bytes],
 
 def full_buckets(raw: DataFrame, bits: int, least: int) -> np.ndarray:
     """Bitmap of the buckets whose counts over all tasks reach ``least``."""
-    kind = narrow(least)
-    return assembled(raw.where("block is not null").select("block", F.col("counts").alias("part")), bits, lambda held, part: held + np.frombuffer(part, kind), lambda held: np.packbits(held >= least, bitorder="little"))
+    wide = 2 + np.dtype(narrow(least)).itemsize
+
+    def add(held: np.ndarray, part: bytes) -> np.ndarray:
+        n = len(part) // wide
+        held[np.frombuffer(part, np.uint16, n)] += np.frombuffer(part, narrow(least), n, 2 * n)
+        return held
+
+    return assembled(raw.where("block is not null").select("block", F.col("counts").alias("part")), bits, add, lambda held: np.packbits(held >= least, bitorder="little"))
 
 
 def of_phrases(frequent: DataFrame, bits: int) -> np.ndarray:
@@ -199,7 +217,7 @@ def of_phrases(frequent: DataFrame, bits: int) -> np.ndarray:
     return assembled(parts, bits, lambda held, part: held | np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little"), lambda held: np.packbits(held > 0, bitorder="little"))
 
 
-def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, bits: int = 22, held: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, bits: int = 26, held: int = 300_000) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, n) of all phrases of 1 to ``longest`` words with n >= ``least``, (lang, n) of all word occurrences), both stored."""
     rows = docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"), docs[text].alias("text"))
     known = bucket = total = None
@@ -216,7 +234,7 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
     return reduce(DataFrame.unionByName, found), total
 
 
-def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, bits: int = 22) -> DataFrame:
+def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, bits: int = 26) -> DataFrame:
     """Each language's ``top`` phrases of 2 to ``longest`` words: lang, rank, phrase, a, l, r, n, score.
 
     The score is the least, over the cuts of a phrase in two, of floor(2000000 a / (l + r)), a its count, l and r those of the parts. A phrase of which

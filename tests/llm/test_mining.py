@@ -140,7 +140,7 @@ def plain_phrases(docs, least, top, covered):
     return {(lang, i + 1, x[2].decode(), -x[1], x[3], x[4], n[lang], -x[0]) for lang, v in rows.items() for i, x in enumerate(sorted(v)[:top])}
 
 
-@pytest.mark.parametrize(("bits", "least", "top"), [(22, 3, 2000), (4, 3, 40), (10, 300, 10)])
+@pytest.mark.parametrize(("bits", "least", "top"), [(20, 3, 2000), (4, 3, 40), (10, 300, 10)])
 def test_phrases_equal_brute_force(spark, bits, least, top):
     rng = np.random.default_rng(7)
     words = ["the", "The", "cat", "sat", "Über", "ñ", "a.b", "x\x0by", " ", "on", "mat", "İ", "ß"]
@@ -153,7 +153,7 @@ def test_phrases_equal_brute_force(spark, bits, least, top):
 
 def test_small_task_dictionaries_give_the_same_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    a, b = (sorted(map(tuple, phrases.frequent(docs, least=5, held=held, bits=bits)[0].collect())) for held, bits in ((400_000, 22), (50, 12)))
+    a, b = (sorted(map(tuple, phrases.frequent(docs, least=5, held=held, bits=bits)[0].collect())) for held, bits in ((300_000, 26), (50, 16)))
     assert a == b and len({x[1] for x in a}) == 4
 
 
