@@ -80,7 +80,7 @@ def with_verdicts(signals: DataFrame, truths: DataFrame, key: str, columns: list
     """``signals`` with m: for each column in order, the truth values matched by each test (null where the signal matches none). Joins are by value and by key; only signals with a match move."""
     values = _values(columns)
     found = signals.select(key, F.explode(values).alias("x")).select(key, "x.*").join(verdicts(signals, truths, columns, truth_columns), ["kind", "v"])
-    of = lambda k, t: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col(t)))))
+    of = lambda k, t: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col(t))))))
     per = found.groupBy(key).agg(F.array(*[F.struct(*[of(k, t).alias(t) for t in TESTS]) for k in range(len(columns))]).alias("m"))
     return signals.join(per, key, "left")
 

@@ -29,7 +29,8 @@ def event_draws(e: DataFrame, by: str, replicates: int) -> DataFrame:
     is made; it meets the events by their number."""
     names = e.agg(F.array_sort(F.collect_set(by)).alias("all"))  # a name per event
     e = e.join(names.select(F.posexplode("all").alias("__i", by)), by)
-    draws = names.select(F.size("all").cast("long").alias("__n")).select("__n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("rep")).select("__n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("slot"))
+    draws = e.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(names.select(F.size("all").cast("long").alias("__n"))))  # one row; replicates lie in all tasks
+    draws = draws.select("__n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("slot"))
     draws = with_drawn(draws, "__i", "__n", "rep", "slot").select("rep", "slot", F.col("__i").cast("int").alias("__i"))
     return draws.join(e, "__i").drop("__i")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from augury.functions import text as X
@@ -49,19 +50,22 @@ def label_mix(spark, d):
 
 
 #: Every forward signal with the largest lead to any event that it matches loosely, if any.
-WARNINGS = f"""{R.MATCHED}, warnings as (select s.event_id, s.day, s.user_id, s.conf::double as conf, coalesce(m.lead, 0) as lead, m.lead is not null as is_tp, case s.user_id % 3 when 0 then 1.0 when 1 then 0.0 else 0.5 end::double as g
-  from signals s left join (select event_id, max(lead) as lead from matched where loose group by event_id) m using (event_id) where {FWD})"""
+WARNINGS = f"""{R.MATCHED}, warnings as (select s.event_id, s.day, s.user_id, s.conf::double as conf, coalesce(m.lead, 0) as lead, m.lead is not null as is_tp, case s.user_id % 3 when 1 then [] when 0 then ['the'] else ['DE', 'zebra'] end as phrases, lower(coalesce(a.text, '')) as article, len(list_filter(phrases, lambda p: contains(article, lower(p)))) as n_found,
+  case when len(phrases) = 0 then 0.0 else n_found / len(phrases) end::double as g
+  from signals s left join documents a on a.doc_id = s.event_id left join (select event_id, max(lead) as lead from matched where loose group by event_id) m using (event_id) where {FWD})"""
 
 
 def warnings(spark, d):
-    """Grounding: phrases found in the record's text; here made of its own fields."""
+    """Grounding: the share of a signal's phrases that its article holds; signals without an article have none of theirs."""
     s = signals(spark, d).where(F.col("temporality").isin(*X.FORWARD))
     m = R.matched(spark, d).where("loose").groupBy("event_id").agg(F.max("lead").alias("best"))
     k = F.col("user_id") % 3
-    text = F.lit('{"k": 1}')
-    phrases = F.when(k == 0, F.array(F.lit("K"))).when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("k"), F.lit("zebra")))
-    s = s.join(m, "event_id", "left")
-    return s.select("event_id", "day", "conf", F.coalesce("best", F.lit(0)).alias("lead"), F.col("best").isNotNull().alias("is_tp"), X.faithfulness(phrases, text).alias("g"), (F.size(phrases) > 0).alias("given"))
+    phrases = F.when(k == 0, F.array(F.lit("the"))).when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("DE"), F.lit("zebra")))
+    text = table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.lower("text").alias("article"))
+    s = s.join(m, "event_id", "left").withColumn("phrases", phrases).join(text, "event_id", "left")
+    s = s.withColumn("missing", F.filter("phrases", lambda p: ~F.coalesce(F.contains(F.col("article"), F.lower(p)), F.lit(False))))
+    share = F.when(F.size("phrases") > 0, 1 - F.size("missing") / F.size("phrases")).otherwise(0.0)
+    return s.select("event_id", "day", "conf", F.coalesce("best", F.lit(0)).alias("lead"), F.col("best").isNotNull().alias("is_tp"), share.alias("g"), (F.size("phrases") > 0).alias("given"), "missing")
 
 
 @query(f"with {WARNINGS} select event_id, case when is_tp then cast(lead as bigint) end as lead, is_tp, conf from warnings")
@@ -75,13 +79,19 @@ def fwgs_all_events(spark, d):
     return warnings(spark, d).agg(F.round(F.avg(A.fwgs("v1")), 4).alias("fwgs"), F.count("*").alias("n_signals"), F.count_if("is_tp").alias("n_tp"), F.count_if(~F.col("is_tp")).alias("n_fp"))
 
 
-@query(f"with {WARNINGS} select count(*) filter (user_id % 3 <> 1) as n, count(*) filter (user_id % 3 = 0) as n_faithful, round(count(*) filter (user_id % 3 = 0) / count(*) filter (user_id % 3 <> 1), 6) as part from warnings")
+@query(f"with {WARNINGS} select count(*) as n, count(*) filter (g = 1) as n_faithful, round(count(*) filter (g = 1) / count(*), 6) as part from warnings where len(phrases) > 0")
 def all_phrases_found(spark, d):
     """Share of signals with phrases whose phrases are all in the text."""
     w = warnings(spark, d).where("given")
     return w.agg(F.count("*").alias("n"), F.count_if(F.col("g") == 1).alias("n_faithful"), F.round(F.count_if(F.col("g") == 1) / F.count("*"), 6).alias("part"))
 
 
+@query(f"with {WARNINGS} select event_id, array_to_string(list_filter(phrases, lambda p: not contains(article, lower(p))), '|') as missing, g from warnings where len(phrases) > 0 and g < 1")
+def phrase_violations(spark, d):
+    """Signals with phrases that their article doesn't hold, and which."""
+    return warnings(spark, d).where(F.col("given") & (F.col("g") < 1)).select("event_id", F.array_join("missing", "|").alias("missing"), "g")
+
+
 PLAIN = {k: f"coalesce(contains({R.padded(k)}, {R.padded('t_' + k)}) or contains({R.padded('t_' + k)}, {R.padded(k)}), false)" for k in ("co", "geo", "good")}
 
 
@@ -91,13 +101,13 @@ PLAIN = {k: f"coalesce(contains({R.padded(k)}, {R.padded('t_' + k)}) or contains
  select *, round(tp / fwd, 6) as prec, tp - (select tp from r where tier = 'T0') as vs_t0 from r""")
 def tier_comparison(spark, d):
     """Matches under the four tiers (substring; words; company or two dimensions; company), without acronyms."""
-    m = R.matched(spark, d)
+    m = R.matched_classes(spark, d)
     co, geo, good = (F.col(f"{k}_p") > 0 for k in ("co", "geo", "good"))
     tiers = {"T0": F.col("loose"), "T1": co | geo | good, "T2": co | (geo & good), "T3": co}
-    q = m.select("truth_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), c.alias("ok")) for t, c in tiers.items()])).alias("x")).select("truth_id", "x.*")
-    r = q.groupBy("tier").agg(F.count("*").alias("fwd"), F.count_if("ok").alias("tp"), F.count_distinct(F.when(F.col("ok"), F.col("truth_id"))).alias("hits"))
-    base = r.where("tier = 'T0'").select(F.col("tp").alias("base"))  # one row
-    return r.join(F.broadcast(base)).select("tier", "fwd", "tp", "hits", F.round(F.col("tp") / F.col("fwd"), 6).alias("prec"), (F.col("tp") - F.col("base")).alias("vs_t0"))
+    q = m.select("truth_id", "weight", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), c.alias("ok")) for t, c in tiers.items()])).alias("x")).select("truth_id", "weight", "x.*")
+    r = q.groupBy("tier").agg(F.sum("weight").alias("fwd"), R.weight_if(F.col("ok")).alias("tp"), F.count_distinct(F.when(F.col("ok"), F.col("truth_id"))).alias("hits"))
+    return r.withColumn("base", F.max(F.when(F.col("tier") == "T0", F.col("tp"))).over(Window.partitionBy(F.lit(1)))).select(  # four rows
+        "tier", "fwd", "tp", "hits", F.round(F.col("tp") / F.col("fwd"), 6).alias("prec"), (F.col("tp") - F.col("base")).alias("vs_t0"))
 
 
 @query(f"""with {R.MATCHED}, b as (select truth_id, case when co_w then 'company' when geo_w and good_w then 'geo+commodity' when good_w then 'commodity_only' when geo_w then 'geo_only' else 'no_match' end as basis from matched),
@@ -105,8 +115,8 @@ def tier_comparison(spark, d):
  select truth_id, n, weak, round(weak / n, 6) as part from c where n > 0 order by round(weak / n, 6) desc, truth_id limit 6""")
 def weakest_evidence(spark, d):
     """The six events with the largest share of matches by one dimension only."""
-    b = R.matched(spark, d).select("truth_id", M.basis(F.col("co_w"), F.col("geo_w"), F.col("good_w")).alias("basis")).where("basis <> 'no_match'")
-    c = b.groupBy("truth_id").agg(F.count("*").alias("n"), F.count_if(F.col("basis").isin("commodity_only", "geo_only")).alias("weak"))
+    b = R.matched_classes(spark, d).select("truth_id", "weight", M.basis(F.col("co_w"), F.col("geo_w"), F.col("good_w")).alias("basis")).where("basis <> 'no_match'")
+    c = b.groupBy("truth_id").agg(F.sum("weight").alias("n"), R.weight_if(F.col("basis").isin("commodity_only", "geo_only")).alias("weak"))
     return c.withColumn("part", F.round(F.col("weak") / F.col("n"), 6)).orderBy(F.col("part").desc(), "truth_id").limit(6)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augury.functions import text as X
@@ -14,20 +14,38 @@ from augury.plans.catalog import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
-def matched(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
-    """Forward signals with each event they precede by up to ``days``, and every rule's verdict. Values are matched once per distinct pair; the range join over (truth, day) comes last,
-    and the planner broadcasts the truth side by its size."""
-    s = signals(spark, d).where(F.col("temporality").isin(*X.FORWARD))
-    t = truth(spark, d)
-    columns, truth_columns = ["companies", "geographies", "commodities"], ["t_companies", "t_geographies", "t_commodities"]
-    s = M.with_verdicts(s, t, "event_id", columns, truth_columns)
-    j = s.join(t, X.lead_days(t.onset, s.day).between(1, days)).withColumn("lead", X.lead_days(F.col("onset"), F.col("day")))
-    j = j.withColumns({f"{k}_{v[0]}": M.matched_values(F.col(n), F.col("m")[i][v]) for i, (k, n) in enumerate(zip(("co", "geo", "good"), truth_columns, strict=True)) for v in M.TESTS})
+COLUMNS, TRUTH_COLUMNS = ["companies", "geographies", "commodities"], ["t_companies", "t_geographies", "t_commodities"]
+
+
+def pairs(s: DataFrame, t: DataFrame, days: int) -> DataFrame:
+    """Records (day, m) with each event they precede by up to ``days``, and every rule's verdict. The events' windows are spread to days, so the join is an equality; what no value matches needs no rule."""
+    w = t.withColumn("window_day", F.explode(F.sequence(F.date_sub("onset", days), F.date_sub("onset", 1))))
+    j = s.join(w, F.col("day") == F.col("window_day")).drop("window_day").withColumn("lead", X.lead_days(F.col("onset"), F.col("day")))
+    j = j.withColumns({f"{k}_{v[0]}": F.when(F.col("m").isNull(), 0).otherwise(M.matched_values(F.col(n), F.col("m")[i][v])) for i, (k, n) in enumerate(zip(("co", "geo", "good"), TRUTH_COLUMNS, strict=True)) for v in M.TESTS})
     rules = {r: M.rule(r, *(F.col(f"{k}_{'l' if r.startswith('R0') else 'w'}") for k in ("co", "geo", "good")), F.col("axis")) for r in M.RULES}
     exact = {"loose": (F.col("co_s") > 0) | (F.col("geo_s") > 0) | (F.col("good_s") > 0), "strict": (F.col("co_s") > 0) | ((F.col("geo_s") > 0) & (F.col("good_s") > 0))}
     return j.withColumns(rules | exact)
 
 
+def matched(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
+    """``pairs`` of the forward signals one by one."""
+    t = truth(spark, d)
+    return pairs(M.with_verdicts(signals(spark, d).where(F.col("temporality").isin(*X.FORWARD)), t, "event_id", COLUMNS, TRUTH_COLUMNS), t, days)
+
+
+def matched_classes(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
+    """``pairs`` of the forward signals' classes: signals of one day and the same names match alike, so they meet the events once, with their number as ``weight``."""
+    s, t = signals(spark, d).where(F.col("temporality").isin(*X.FORWARD)), truth(spark, d)
+    c = s.groupBy("day", *COLUMNS).agg(F.count("*").alias("size"))
+    found = M.with_verdicts(c.withColumn("class", F.md5(F.to_json(F.struct("day", *COLUMNS)))), t, "class", COLUMNS, TRUTH_COLUMNS)
+    return pairs(found.groupBy("day", "m").agg(F.sum("size").alias("weight")).withColumn("class", F.md5(F.to_json(F.struct("day", "m")))), t, days)
+
+
+def weight_if(c: Column) -> Column:
+    """Signals of the classes where ``c`` holds."""
+    return F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+
+
 def padded(c: str) -> str:
     return f"(' ' || trim(regexp_replace(lower(trim({c})), '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
@@ -57,13 +75,13 @@ MATCHED = f"""{SIGNALS}, {TRUTH}, pairs as (select *, date_diff('day', day, onse
 @query(f"with {MATCHED} select 'R' || r as rule, count(*) as n, sum(cast(ok as int)) as tp, count(distinct case when ok then truth_id end) as events_hit from (select truth_id, unnest([0,1,2,3,4]) as r, unnest([r0, r1, r2, r3, r4]) as ok from matched) group by r")
 def match_ladder(spark, d):
     """Matches and events hit under each rule, from one pass over the pairs."""
-    m = matched(spark, d).select("truth_id", F.explode(F.array(*[F.struct(F.lit(r[:2]).alias("rule"), F.col(r).alias("ok")) for r in M.RULES])).alias("x")).select("truth_id", "x.*")
-    return m.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("tp"), F.count_distinct(F.when(F.col("ok"), F.col("truth_id"))).alias("events_hit"))
+    m = matched_classes(spark, d).select("truth_id", "weight", F.explode(F.array(*[F.struct(F.lit(r[:2]).alias("rule"), F.col(r).alias("ok")) for r in M.RULES])).alias("x")).select("truth_id", "weight", "x.*")
+    return m.groupBy("rule").agg(F.sum("weight").alias("n"), weight_if(F.col("ok")).alias("tp"), F.count_distinct(F.when(F.col("ok"), F.col("truth_id"))).alias("events_hit"))
 
 
 def validated(spark, d, mode):
     t = truth(spark, d).select("truth_id", "onset")
-    m = matched(spark, d).where(F.col(mode)).groupBy("truth_id").agg(F.count("*").alias("n"), F.min("day").alias("earliest"))
+    m = matched_classes(spark, d).where(F.col(mode)).groupBy("truth_id").agg(F.sum("weight").alias("n"), F.min("day").alias("earliest"))
     j = t.join(m, "truth_id", "left")
     return j.select("truth_id", F.col("n").isNotNull().alias("hit"), F.coalesce("n", F.lit(0)).alias("n"), F.date_format("earliest", "yyyy-MM-dd").alias("earliest"), X.lead_days(F.col("onset"), F.col("earliest")).cast("long").alias("lead"))
 
@@ -85,34 +103,36 @@ def validate_loose(spark, d):
 def validate_summary(spark, d):
     """Hit rate, upper median lead and precision."""
     v = validate_strict(spark, d).agg(F.count("*").alias("n_events"), F.sum(F.col("hit").cast("int")).alias("n_hit"), F.array_sort(F.collect_list("lead")).alias("l"))  # one lead per event
-    p = matched(spark, d).groupBy("event_id").agg(F.bool_or("strict").alias("ok")).agg(F.sum(F.col("ok").cast("int")).alias("n_matched"), F.count("*").alias("n_in_window"))
-    return v.join(p).select("n_events", "n_hit", F.round(F.col("n_hit") / F.col("n_events"), 3).alias("hit_rate"), F.expr("l[size(l) div 2]").alias("median_lead"), "n_matched", "n_in_window", F.round(F.col("n_matched") / F.col("n_in_window"), 6).alias("prec"))
+    c = matched_classes(spark, d).groupBy("class").agg(F.bool_or("strict").alias("ok"), F.first("weight").alias("weight"))
+    p = c.agg(weight_if(F.col("ok")).alias("n_matched"), F.sum("weight").alias("n_in_window"))
+    both = v.unionByName(p, allowMissingColumns=True)  # two rows
+    return both.agg(*[F.first(c, True).alias(c) for c in both.columns]).select("n_events", "n_hit", F.round(F.col("n_hit") / F.col("n_events"), 3).alias("hit_rate"), F.expr("l[size(l) div 2]").alias("median_lead"), "n_matched", "n_in_window", F.round(F.col("n_matched") / F.col("n_in_window"), 6).alias("prec"))
 
 
 @query(f"with {MATCHED} select truth_id, case when co_w then 'company' when geo_w and good_w then 'geo+commodity' when good_w then 'commodity_only' when geo_w then 'geo_only' else 'no_match' end as basis, count(*) as n from matched group by all")
 def evidence_breakdown(spark, d):
-    return matched(spark, d).groupBy("truth_id", M.basis(F.col("co_w"), F.col("geo_w"), F.col("good_w")).alias("basis")).agg(F.count("*").alias("n"))
+    return matched_classes(spark, d).groupBy("truth_id", M.basis(F.col("co_w"), F.col("geo_w"), F.col("good_w")).alias("basis")).agg(F.sum("weight").alias("n"))
 
 
 @query(f"with {MATCHED} select truth_id, sum(cast(r0 as int)) as r0, sum(cast(r4 as int)) as r4, sum(cast(r0 as int)) - sum(cast(r4 as int)) as dropped from matched group by truth_id")
 def r0_minus_r4(spark, d):
-    r = {k: F.sum(F.col(n).cast("int")) for k, n in (("r0", M.RULES[0]), ("r4", M.RULES[4]))}
-    return matched(spark, d).groupBy("truth_id").agg(r["r0"].alias("r0"), r["r4"].alias("r4"), (r["r0"] - r["r4"]).alias("dropped"))
+    r = {k: weight_if(F.col(n)) for k, n in (("r0", M.RULES[0]), ("r4", M.RULES[4]))}
+    return matched_classes(spark, d).groupBy("truth_id").agg(r["r0"].alias("r0"), r["r4"].alias("r4"), (r["r0"] - r["r4"]).alias("dropped"))
 
 
 @query(f"with {MATCHED}, b as (select event_id, max(lead) as lead, bool_or(loose) as any_match, arg_min(truth_id, ev_ord) filter (loose) as first_truth from matched group by event_id) select cast(first_truth is not null as boolean) as has, first_truth, count(*) as n, sum(lead) as lead_sum from b group by all")
 def best_and_first_event(spark, d):
     """Signals by their first matching event in truth order, with the largest lead of any event."""
-    b = matched(spark, d).groupBy("event_id").agg(F.max("lead").alias("lead"), F.min_by("truth_id", F.when(F.col("loose"), F.col("ev_ord"))).alias("f"), F.bool_or("loose").alias("has"))
-    return b.groupBy("has", F.when(F.col("has"), F.col("f")).alias("first_truth")).agg(F.count("*").alias("n"), F.sum("lead").alias("lead_sum"))
+    b = matched_classes(spark, d).groupBy("class").agg(F.first("weight").alias("weight"), F.max("lead").alias("lead"), F.min_by("truth_id", F.when(F.col("loose"), F.col("ev_ord"))).alias("f"), F.bool_or("loose").alias("has"))
+    return b.groupBy("has", F.when(F.col("has"), F.col("f")).alias("first_truth")).agg(F.sum("weight").alias("n"), F.sum(F.col("lead") * F.col("weight")).alias("lead_sum"))
 
 
 @query(f"with {SIGNALS}, {TRUTH} select count(*) as n, sum(cast(exists (select 1 from truth where date_diff('day', day, onset) between 1 and 3) as int)) as n_in from signals where temporality in ('forward_looking', 'latent')")
 def in_any_window(spark, d):
-    """Signals inside any event's window: a semi join on a date range."""
+    """Signals inside any event's window: signals are counted by day, and days meet the windows' days."""
     s, t = signals(spark, d).where(F.col("temporality").isin(*X.FORWARD)), truth(spark, d)
-    n = s.join(t, X.lead_days(t.onset, s.day).between(1, 3), "left_semi").agg(F.count("*").alias("n_in"))
-    return s.agg(F.count("*").alias("n")).join(n)
+    inside = t.select(F.explode(F.sequence(F.date_sub("onset", 3), F.date_sub("onset", 1))).alias("day")).distinct().withColumn("inside", F.lit(True))
+    return s.groupBy("day").agg(F.count("*").alias("n")).join(inside, "day", "left").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"))
 
 
 # ---- scored signals at scale

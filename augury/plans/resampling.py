@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from augury.operators import counts as N
 from augury.operators import metrics as A
 from augury.operators import resampling as B
 from augury.plans.adapters import LEADS, leads
@@ -105,3 +106,46 @@ def bootstrap_fwgs(spark, d):
 def bootstrap_curve(spark, d):
     """Cumulative detection by lead, averaged over events, with its pointwise interval."""
     return B.curve(A.pre_onset(leads(spark, d)).where("is_tp"), "event", "lead", GRID, REPLICATES)
+
+
+def points(df, by, value):
+    """The observed mean and number of each group."""
+    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("point"), F.count("*").alias("n"))
+
+
+@query()
+def event_intervals(spark, d):
+    """Each event's mean score with its interval, signals resampled within the event; then all events pooled, events and their signals resampled."""
+    s, v = A.pre_onset(leads(spark, d)), A.fwgs("v3")
+    s = s.withColumn("event", F.col("event").cast("string"))
+    one = points(s, ["event"], v).join(N.bounds(N.group_means(s, ["event"], v, REPLICATES), ["event"]), "event")
+    pool = points(s.withColumn("event", F.lit("POOLED")), ["event"], v).join(N.bounds(N.pooled_means(s, "event", v, n=REPLICATES).withColumn("event", F.lit("POOLED")), ["event"]), "event")
+    return one.unionByName(pool)
+
+
+@query()
+def model_intervals(spark, d):
+    """Event intervals of each model (here: arm), and each model's pooled interval."""
+    s, v = A.pre_onset(leads(spark, d)).withColumn("event", F.col("event").cast("string")), A.fwgs("v3")
+    one = points(s, ["arm", "event"], v).join(N.bounds(N.group_means(s, ["arm", "event"], v, REPLICATES), ["arm", "event"]), ["arm", "event"])
+    pool = N.bounds(N.pooled_means(s, "event", v, ["arm"], REPLICATES), ["arm"]).withColumn("event", F.lit("POOLED"))
+    return one.unionByName(points(s, ["arm"], v).join(pool, "arm"))
+
+
+@query()
+def cell_intervals(spark, d):
+    """Half-widths of the cells of an event by model chart, and whether an interval leaves out 0."""
+    s, v = A.pre_onset(leads(spark, d)), A.fwgs("v3")
+    c = N.bounds(N.group_means(s, ["event", "arm"], v, REPLICATES), ["event", "arm"], ends="outer")
+    return points(s, ["event", "arm"], v).join(c, ["event", "arm"]).select("event", "arm", "point", "n", F.round((F.col("hi") - F.col("lo")) / 2, 6).alias("half"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("off_zero"))
+
+
+@query()
+def two_stage_intervals(spark, d):
+    """Intervals of precision, of the score before the onset and of the forward share after it, events resampled and then their signals."""
+    pre, post = A.pre_onset(leads(spark, d)), A.post_onset(leads(spark, d), 60)
+    out = None
+    for name, s, v in (("precision", pre, F.col("is_tp").cast("double")), ("fwgs", pre, A.fwgs("v3")), ("beta0", post, F.col("forward").cast("double"))):
+        one = points(s, [], v).withColumn("measure", F.lit(name)).join(N.bounds(N.pooled_means(s, "event", v, n=REPLICATES).withColumn("measure", F.lit(name)), ["measure"], ends="outer"), "measure")
+        out = one if out is None else out.unionByName(one)
+    return out
