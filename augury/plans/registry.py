@@ -487,4 +487,4 @@ def parse_llm_json(spark, d):
 
 
 # The modules below register their queries in the same catalog.
-from augury.plans import attribution, decision, keywords, learning, records, resampling, worksheets  # noqa: E402, F401
+from augury.plans import attribution, decision, keywords, learning, records, reports, resampling, worksheets  # noqa: E402, F401

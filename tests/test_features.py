@@ -137,3 +137,29 @@ def test_slots_are_seeded(spark):
     plan_ = lambda wanted, seed=42: [tuple(r) for r in P.sampled_slots(spark, "2024-01-01", 30, ["00", "12"], wanted, seed=seed).orderBy("place").collect()]
     assert plan_(100) == plan_(100) != plan_(100, 7) and len(plan_(1)) == 5 and len(plan_(700)) == 9 and len(plan_(10**6)) == 80
     assert {d for _, d, _ in plan_(10**6)} <= {date(2024, 1, d) for d in range(1, 31)} and {s for *_, s in plan_(10**6)} == {"00", "12"}
+
+
+def test_reports_and_sheets_are_written_as_read(spark, tmp_path):
+    from augury.operators import reports as T
+
+    df = spark.createDataFrame([("a", 0.123456, None), ("é", None, "x, \"y\"\nz")], "id string, v double, note string")
+    T.write_report(df, str(tmp_path / "r"), 3)
+    lines = [f.read_text(encoding="utf-8").splitlines() for f in (tmp_path / "r").glob("part-*")]
+    assert [sorted(x) for x in lines] == [['{"id":"a","v":0.123,"note":null}', '{"id":"é","v":null,"note":"x, \\"y\\"\\nz"}']]
+    T.write_worksheet(df, str(tmp_path / "w"), ["id", "note", "label"])
+    (file,) = (tmp_path / "w").glob("part-*")
+    text = file.read_bytes().decode("utf-8")
+    assert text.startswith("﻿id,note,label\n") and "é," in text and '"x, ""y""\nz"' in text
+    from augury.sources import io
+
+    rows = [tuple(r) for r in io.worksheets(spark, str(tmp_path / "w") + "/part-*", ["id", "note", "label"]).orderBy("row").select("id", "note", "label").collect()]
+    assert rows == [("a", "", ""), ("é", 'x, "y"\nz', "")]
+
+
+def test_prompts_of_broken_templates(spark):
+    from augury.operators import reports as T
+
+    rows = [("## System Prompt\ns\n## User Prompt\n{1}|{2}", "x", None), ("no sections", "x", "y"), (None, "x", "y")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, a string, b string").orderBy("i")
+    got = [tuple(r) for r in df.select(*T.prompt(F.col("t"), [F.col("a"), F.col("b")])).collect()]
+    assert got == [("s", "x|"), ("", ""), (None, None)]
