@@ -32,7 +32,7 @@ from augury.llm.common import small_batches, stored, texts
 
 # Groups of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param keygen frame".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option canvas object audio video".split())
+RAW = frozenset("script style template textarea title iframe select option".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SAME_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -42,7 +42,8 @@ IN_TAGS = frozenset("article main".split())
 OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager tags legal copyright contentinfo complementary".split())
 IN_WORDS = frozenset("article articlebody content post entry story text main body prose".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I | re.S)
 WORD = re.compile(r"[A-Za-z][a-z]*")
 # Places of the features that come from tag names and attribute words.
@@ -66,8 +67,58 @@ class Node:
         self.n_words_out, self.n_words_in = len(words & OUT_WORDS), len(words & IN_WORDS)
 
 
+class Scanner:
+    """Tags, comments and declarations of a page from left to right. A tag may hold ``>`` in quotes; one that doesn't end is text. What a search missed once isn't searched again: places from which a tag is known not to end are marked,
+    so a page takes time in proportion to its length, however broken it is."""
+
+    def __init__(self, html: str):
+        self.html, self.dead, self.last = html, bytearray(), html.rfind(">")
+
+    def after(self, at: int) -> int:
+        """Where a tag ends whose attributes begin ``at``; -1 if nowhere."""
+        i, seen = at, []
+        while not (self.dead and i < len(self.dead) and self.dead[i]):
+            m = STOP.search(self.html, i) if i <= self.last else None
+            if m is None:
+                seen.append((i, len(self.html)))
+                break
+            j = m.start()
+            if self.html[j] == ">":
+                return j + 1
+            q = -1 if self.dead and self.dead[j] else self.html.find(self.html[j], j + 1)
+            seen.append((i, j + 1))
+            if q < 0:
+                break
+            i = q + 1
+        if not self.dead:
+            self.dead = bytearray(len(self.html) + 1)
+        for a, b in seen:
+            self.dead[a:b] = b"\x01" * (b - a)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str]:
+        """(start, end, match of an element's tag or None, its attributes) of the next piece of markup; a start of -1 if there is none."""
+        html = self.html
+        while m := TAG.search(html, at):
+            if m[2] is not None:
+                end = self.after(m.end())
+                if end >= 0:
+                    return m.start(), end, m, html[m.end() : end - 1]
+                at = m.end()
+                continue
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = html.find(mark, m.end()) if mark != ">" or m.end() <= self.last else -1
+            if end >= 0:
+                return m.start(), end + len(mark), None, ""
+            if mark != ">":
+                return m.start(), len(html), None, ""
+            at = m.end()
+        return -1, -1, None, ""
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Every node is opened and closed once; a closing tag that nothing open answers to is passed over at once."""
+    scan, never = Scanner(html), set()
     root = Node("#root", "", None)
     stack, open_ = [root], Counter()
     end, n = 0, len(html)
@@ -78,14 +129,14 @@ def parse(html: str) -> Node:
         del stack[depth:]
 
     while end < n:
-        m = TAG.search(html, end)
-        if m is None:
+        start, stop, m, attrs = scan.next(end)
+        if start < 0:
             stack[-1].children.append(html[end:])
             break
-        if m.start() > end:
-            stack[-1].children.append(html[end : m.start()])
-        end = m.end()
-        if m[2] is None:
+        if start > end:
+            stack[-1].children.append(html[end:start])
+        end = stop
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
@@ -115,13 +166,15 @@ def parse(html: str) -> Node:
             stack[-1].children.append("\n")
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                closing = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, end)
+            if not attrs.endswith("/"):
+                closing = None if tag in never else re.compile(f"</{re.escape(tag)}\\s*+>", re.I).search(html, end)
+                if closing is None:
+                    never.add(tag)
                 end = closing.end() if closing else (n if tag in ("script", "style", "template", "title", "textarea") else end)
             continue
-        node = Node(tag, m[3], stack[-1])
+        node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
             open_[tag] += 1
     return root

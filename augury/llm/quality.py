@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,6 +215,13 @@ class Quality:
         self.weights, self.thresholds = best[:width], ordered(best[width:])
         return self
 
+    def over(self, grade: int) -> Column:
+        """P(grade > ``grade``) out of ``tail``, by the grade's value and not its place: 1 under the lowest rating seen, 0 from the highest on, null if none was seen."""
+        seen = [i for i, g in enumerate(self.grades) if g <= grade]
+        if not self.grades:
+            return F.lit(None).cast("double")
+        return F.lit(1.0) if not seen else F.lit(0.0) if len(seen) == len(self.grades) else F.get("tail", F.lit(seen[-1]))
+
     def score(self, docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """Columns ``keep`` with expected_grade and tail: array of P(grade > k) for each step in order."""
         weights, thresholds, grades, places, n, n_terms = self.weights, self.thresholds, np.array(self.grades, float), self.places, self.n_features, self.n_terms

@@ -42,12 +42,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded ratings out of ``labels``: 0 poor, 1 good but toxic, 2 good. Selected: P(grade > 0) of 0.5 or more."""
+    """Graded ratings out of ``labels``: 0 poor, 1 good but toxic, 2 good. Selected: P(grade > 0) of 0.5 or more; without any ratings nothing speaks against a document."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
-    scored = quality.Quality().fit(docs, ratings).score(docs)
-    good = F.coalesce(F.get("tail", F.lit(0)), (F.col("expected_grade") > 0).cast("double"), F.lit(1.0))
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", good.alias("p_good"), F.get("tail", F.lit(1)).alias("p_best"), (good >= 0.5).alias("selected"))
+    model = quality.Quality().fit(docs, ratings)
+    scored = model.score(docs)
+    good, best = model.over(0), model.over(1)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", good.alias("p_good"), best.alias("p_best"), F.coalesce(good >= 0.5, F.lit(True)).alias("selected"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

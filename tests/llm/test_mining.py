@@ -217,3 +217,32 @@ def test_rows_that_take_no_part(spark):
     assert df.count() == 3
     assert [tuple(r) for r in negatives.mine(df, F.col("id") == 0).collect()] == []  # row 2 scores 75,264, over the positive's 73,728
     assert [tuple(r) for r in negatives.mine(df.withColumn("v", F.when(F.col("id") == 2, F.array(F.lit(200).cast("long"), F.lit(128).cast("long"))).otherwise(F.col("v"))), F.col("id") == 0).collect()] == [(0, 1, 1, 2, 73728, 67584)]
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<a "' * 200_000 + ">", "<a '\"" * 100_000, "<!" * 300_000, "<svg>" * 50_000, "<select>" * 100_000, "<a \"'" * 100_000, "<!--" * 200_000, "</svg " * 100_000])
+def test_broken_pages_are_read_in_linear_time(page):
+    from augury.llm import html
+
+    began = time.time()
+    html.parse(page)
+    assert time.time() - began < 8
+
+
+def test_tags_without_an_end_are_text_and_quotes_hide_brackets():
+    from augury.llm import html
+
+    def text(x):
+        return "".join(c if isinstance(c, str) else f"[{c.tag}:{text(c)}]" for c in x.children)
+
+    assert text(html.parse("a <b c='>'>d</b> <e 'f")) == "a [b:d] <e 'f"
+    assert text(html.parse("<p>x<math>y2</math><noscript>n</noscript><svg>s</svg><select>gone</select>")) == "[p:x[math:y2][noscript:n][svg:s]]"
+
+
+@pytest.mark.parametrize(("grades", "over_0", "over_1"), [([0, 1, 2], 0.9, 0.3), ([1, 2], 1.0, 0.9), ([0, 2], 0.9, 0.9), ([0, 1], 0.9, 0.0), ([2], 1.0, 1.0), ([0], 0.0, 0.0), ([], None, None)])
+def test_tails_go_by_the_grades_value(spark, grades, over_0, over_1):
+    from augury.llm import quality
+
+    model = quality.Quality()
+    model.grades = grades
+    df = spark.createDataFrame([([0.9, 0.3][: max(0, len(grades) - 1)],)], "tail array<double>")
+    assert tuple(df.select(model.over(0), model.over(1)).first()) == (over_0, over_1)
