@@ -1,7 +1,8 @@
 """A corpus pipeline out of the operators of ``augury.llm``: toxicity, near-dedup, decontamination, secrets, encoding.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
-``documents``. Null texts count as empty; extra columns pass through up to the last stage; an empty table gives an empty result.
+``documents``. Null texts count as empty (the secret stage writes them so); null ids are kept in near-dedup, which can't name a group's first by them, and judged by their text elsewhere; rows that repeat an id are judged each for
+itself, but rows equal in id and text are one document; extra columns pass through up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that cover 0.6 or more of a benchmark item by tiles of five tokens or more."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Leaves out documents that cover 0.6 or more of a benchmark item by tiles of five tokens or more. What goes is told by its text, so rows with null or repeated ids are judged each for itself."""
+    keyed = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
+    found = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark"), key="__digest").select("__digest").distinct()
+    return keyed.join(found, "__digest", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
