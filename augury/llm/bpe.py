@@ -5,6 +5,9 @@ known chunks of a batch are laid out as one symbol sequence; every adjacent pair
 positions, active ranks are applied in ascending order, and each merge updates the lists of the pairs
 beside it. Chunk results are remembered within the task, so a word costs its merges once.
 
+Word classes and lower cases are those of the library the vocabulary is for (Unicode 16 letters and digits, Unicode 17 cases), whatever version Python and
+its regular expressions have.
+
 Defined results: null or empty text gives no ids and an empty decoded text; repeated rows are encoded
 alike; an empty table gives an empty result; other columns of the input pass through only by ``keep``.
 The memo of a task is emptied beyond ``memo_chunks`` entries, which bounds memory and changes no result.
@@ -32,6 +35,28 @@ from augury.llm.common import small_batches, texts
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 CHUNK = regex.compile(r"[^\s\x85]+" if regex.match(r"\s", "\x1c") is None else r"(?:[^\s]|[\x1c-\x1f])+")
 
+# Hexadecimal ranges of letters and digits newer than Unicode 16, which the vocabulary's word classes hold for neither.
+TOO_NEW = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2
+18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
+1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+""".split()
+# Lower cases (first, last, distance) of Unicode 16 and 17, which str.lower() may not know yet.
+LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+LOWER_OF = {c: c + by for first, last, by in LOWER for c in range(first, last + 1)}
+
+
+def pinned(pattern: str) -> str:
+    """The pattern with its letters and digits held to those up to Unicode 16, whatever version the regular expressions know."""
+    late = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in TOO_NEW)
+    swaps = {r"[\p{L}]": rf"[\p{{L}}--[{late}]]", r"[\p{N}]": rf"[\p{{N}}--[{late}]]", r"[^\s\p{L}\p{N}]": rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]"}
+    parts = regex.split("|".join(f"({regex.escape(k)})" for k in swaps), pattern)
+    return "(?V1)" + "".join(swaps.get(x, x) for x in parts if x)
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte: printable Latin-1 bytes stand for themselves, the rest for code points from 256 on, in order."""
@@ -56,7 +81,8 @@ class PairIndexBPE:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + end] for s in symbols]
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.ascii_words, self.words = regex.compile(pattern), regex.compile(pinned(pattern))
         self.rank: dict[tuple[int, int], int] = {}
         self.pair: list[tuple[int, int]] = []
         self.made: list[int] = []
@@ -127,8 +153,10 @@ class PairIndexBPE:
         """Encode chunks (runs without white space) that the memo doesn't have."""
         cut = []
         for c in chunks:
-            c = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
-            cut.append(self.words.findall(c))
+            if c.isascii():
+                cut.append(self.ascii_words.findall(c.lower()))
+            else:
+                cut.append(self.words.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower().translate(LOWER_OF)))
         known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
         ids = [array.array("I", x).tobytes() for x in self.merge([w.encode() for w in known])]
         for c, ws in zip(chunks, cut, strict=True):

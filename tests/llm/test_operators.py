@@ -41,6 +41,14 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.encode(docs(spark, []), VOCABULARY).count() == 0
 
 
+def test_bpe_is_the_librarys_on_every_assigned_code_point():
+    t, own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), bpe.PairIndexBPE(VOCABULARY)
+    points = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x34000), *range(0x3D000, 0x3D100), *range(0x3FC00, 0x3FD00), *range(0xE0000, 0xE0200), 0x10FFFF)]
+    rows = [" ".join(f"a{c}'s1{c}b" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    for i, (text, mine) in enumerate(zip(rows, own.encode_batch(rows), strict=True)):
+        assert np.frombuffer(mine, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, hex(ord(points[i * 200]))
+
+
 def test_topk_with_ties_and_unusable_vectors(spark):
     v = RNG.integers(-2, 3, (120, 5))
     rows = [(i, [float(x) / 64 for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 5)]
