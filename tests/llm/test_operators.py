@@ -62,6 +62,34 @@ def test_topk_with_ties_and_unusable_vectors(spark):
         assert [got[q][k] for k in range(1, 8)] == [(-s, i) for s, i in best]
 
 
+def test_topk_walk_stops_early_and_is_exact():
+    for dims, spread, first in ((1, 50, 2), (2, 1000, 2), (3, 9, 2), (6, 400, 16), (64, 64, 16)):
+        v = RNG.integers(-spread, spread + 1, (1500, dims))
+        ids = RNG.permutation(1500) // 2  # each id twice
+        lists, walked = topk.SortedLists(ids, list(v)), []
+        for q in (*RNG.integers(-spread, spread + 1, (20, dims)), np.zeros(dims, np.int64)):
+            rows, scores, met = lists.search(7, q, 10, first)
+            want = np.lexsort((ids, -(v @ q)))
+            want = want[ids[want] != 7][:10]
+            assert scores.tolist() == (v @ q)[want].tolist() and ids[rows].tolist() == ids[want].tolist()
+            walked.append(met)
+        assert dims > 3 or np.median(walked) < 750
+
+
+def test_topk_with_repeats_lengths_huge_components_and_no_rows(spark):
+    big = 2**62
+    rows = [(1, [3, 1]), (1, [5]), (2, [-1, 2, 7]), (3, [big, big]), (4, [-(2**63), 1]), (5, [0, 0])] + [(6, [2, 2])] * 300
+    x = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in topk.search(x, x.where("vec_id < 6"), k=4, block_rows=40).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.score, r.vec_id))
+    padded = [(i, v + [0] * (3 - len(v))) for i, v in rows]
+    for q, v in [(i, v) for i, v in padded[:6] if i != 1]:
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in padded if i != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [[(-s, i)] for s, i in best]
+    assert topk.search(x.limit(0), x.limit(0)).count() == topk.search(x, x.limit(0)).count() == topk.search(x.limit(0), x).count() == 0
+
+
 def test_suffix_removal_is_exact(spark):
     shared = prose(40)
     texts = [prose(30) + shared + prose(20), prose(10) + shared + prose(5), "ab" * 60, None, "", prose(60)]
