@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,12 +105,8 @@ class Toxicity:
         if not places:
             return self
 
-        def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = [np.isin(places, t).astype(float) for t in b.column("terms").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
-
-        model = self.fm.fit(rows.mapInArrow(dense, "label double, x array<double>").select("label", array_to_vector("x").alias("x")))
+        sparse = CountVectorizerModel.from_vocabulary([str(p) for p in places], "terms", "x").setBinary(True)
+        model = self.fm.fit(sparse.transform(rows.select("label", F.col("terms").cast("array<string>"))).drop("terms"))
         self.machine = Machine(n, places, model.intercept, model.linear.toArray(), model.factors.toArray())
         return self
 

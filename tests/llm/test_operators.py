@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out labels, with nulls, empty texts, repeats, ties and empty tables."""
 
 import hashlib
+import re
 import time
 from collections import Counter
 from itertools import combinations
@@ -8,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -130,6 +132,31 @@ def test_toxicity_learns_on_held_out_rows(spark):
     rows = model.score(d).withColumn("out", toxicity.held_out(F.col("doc_id"))).where("out and doc_id < 400").collect()
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in rows]) > 0.95
     assert {r.score for r in toxicity.Toxicity().fit(d, labels.limit(0)).score(d.limit(3)).collect()} == {0.5}
+    assert toxicity.Toxicity().fit(d.limit(0), labels).score(d.limit(0)).count() == 0
+
+
+# The patterns as the contract writes them, with the least length of the group that counts.
+BASE = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 18),
+    ("hex", "([0-9a-f]+)", 1, 16),
+)
+
+
+def base_spans(t):
+    found = [(m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(BASE) for m in re.finditer(p, t, re.ASCII) if len(m[group]) >= least]
+    return [sum(k == j for _, k, _ in found) for j in range(3)], ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_are_those_of_the_written_patterns(spark):
+    pieces = ["password", "PASSWD", "Secret", "to\u212aen", "\u017fecret", "token", "api_key", "apikey", "'", '"', " ", "  ", "\n", "\x1c", "\u00a0", "\t", ":", "=", "A" * 9, "AKIA", "0123456789abcdef", "ab12", "x_", "/+", "é", "AKIAAKIA9", "deadbeef", "-."]
+    made = ["".join(RNG.choice(pieces, int(n))) for n in RNG.integers(1, 30, 3000)] + ["token = " + "ab1" * 100_000, "password" * 50_000, None, ""]
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = secrets.find(docs(spark, with_extras(made + given))).orderBy("doc_id").collect()
+    for t, r in zip(made + given, got, strict=True):
+        counts, spans = base_spans(t or "")
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (counts, hashlib.sha256(spans.encode()).hexdigest()), t
+        assert set(spans.split(",")) <= set(r.spans.split(","))
 
 
 def test_quality_grades_in_order(spark):
@@ -196,6 +223,20 @@ def test_line_dedup(spark):
     assert lines.removed(d.limit(0)).count() == lines.deduplicated(d.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0D]+", low)
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), seed=42) for i in range(max(1, len(words) - 3))] if words else []
+    return "".join("1" if sum(x >> b & 1 for x in h) * 2 > len(h) else "0" for b in range(63, -1, -1))
+
+
+def test_fingerprints_are_those_of_a_plain_version(spark):
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = [None, "", " \x0b\n", "one", "ONE two\u00a0x three", "a b c d", "a\x1cb c d E", "É é a b c", "x y " * 300, prose(20_000), *given]
+    got = simhash.fingerprints(docs(spark, with_extras(texts)), words=4).select("doc_id", "fp").collect()
+    assert {r.doc_id: f"{r.fp[0] % (1 << 64):064b}" for r in got} == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
 def hamming_components(fps, most):
     comp = list(range(len(fps)))
     for _ in fps:
