@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import html
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels that count as forward-looking, and the lead strata as (name, over, up to) days.
 FORWARD = ("forward_looking", "latent")
 STRATA = (("1-7", 0, 7), ("8-30", 7, 30), ("31-90", 30, 90), ("91-180", 90, 180))
 
+# annotators' spellings of yes and no.
+YES = ("1", "1.0", "y", "yes", "true", "relevant")
+NO = ("0", "0.0", "n", "no", "false", "irrelevant", "not relevant")
+
 
 def norm(c: Column) -> Column:
     """Trimmed (all white space), lower case, null as empty."""
@@ -33,20 +43,42 @@ def plain_words(c: Column) -> Column:
 
 
 def has_phrase(text: Column, phrase: str) -> Column:
-    """Whether a whole phrase occurs, not inside longer ASCII words."""
-    return F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")), F.lit(f" {phrase} "))
+    """Whether a whole phrase occurs, not inside longer ASCII words; case and punctuation count in neither. A phrase without ASCII letters and digits never occurs."""
+    words = " ".join(re.findall("[a-z0-9]+", phrase.lower()))
+    return F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")), F.lit(f" {words} ")) if words else F.lit(False)
 
 
-def strip_html(html: Column) -> Column:
+def strip_html(c: Column) -> Column:
     """Markup to text: scripts and styles dropped, tags as spaces, white space as single spaces. Character references stay."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]+>", " "), r"\s+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(c: pd.Series) -> pd.Series:
+    """Named and numeric character references as their characters; Spark has no function for them."""
+    return c.map(html.unescape, na_action="ignore")
+
+
+def html_text(c: Column) -> Column:
+    """Markup to text as ``strip_html``, with character references decoded and every Unicode white space a space; null stays null. Only texts that hold an ampersand leave the JVM's expressions."""
+    plain = strip_html(c)
+    return F.trim(F.regexp_replace(F.when(F.contains(plain, F.lit("&")), unescaped(plain)).otherwise(plain), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+
+
+# What Markdown loses and what stands in its place, in this order: images, links, header signs, rules, empty lines, outer white space.
+MARKDOWN = (
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?m)^#+\s*", ""),
+    (r"[-*]{3,}", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+|\s+$", ""),
+)
 
 
 def clean_markdown(c: Column) -> Column:
     """Markdown to text: images and rules as a space, links as their words, headers without their signs, two line breaks in a row at most."""
-    out = F.regexp_replace(F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?m)^#+\s*", ""), r"[-*]{3,}", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return reduce(lambda out, rule: F.regexp_replace(out, *rule), MARKDOWN, c)
 
 
 def url_hash(url: Column) -> Column:
@@ -73,10 +105,6 @@ def foresight(lead: Column, tau: float = 30.0) -> Column:
     return 1 - F.exp(-F.greatest(lead, F.lit(0)) / F.lit(tau))
 
 
-def mitigation(lead: Column, most: float = 0.8, scale: float = 14.0) -> Column:
-    return F.lit(most) * (1 - F.exp(-F.greatest(lead, F.lit(0)) / F.lit(scale)))
-
-
 def faithfulness(phrases: Column, text: Column, without: float = 0.0) -> Column:
     """Share of trigger phrases that occur in the text, in any case; ``without`` for no phrases, 0 for no text."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -95,7 +123,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def label(c: Column) -> Column:
     """Annotators' spellings as 1, 0 or null."""
     low = F.lower(F.trim(c.cast("string")))
-    return F.when(low.isin("1", "1.0", "y", "yes", "true", "relevant"), 1).when(low.isin("0", "0.0", "n", "no", "false", "irrelevant", "not relevant"), 0)
+    return F.when(low.isin(*YES), 1).when(low.isin(*NO), 0)
 
 
 def answer_json(raw: Column) -> Column:

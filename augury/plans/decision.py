@@ -10,6 +10,7 @@ from augury.operators import metrics as A
 from augury.plans.adapters import LEADS, leads
 from augury.plans.catalog import query
 
+# Thresholds, prices of an action as shares of the loss, and score limits that the published curves stand on.
 GRID = [i / 100 for i in range(30, 96)]
 PRICES = [0.01, 0.02, 0.05, 0.1, 0.2]
 SCORE_GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]

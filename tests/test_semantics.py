@@ -137,6 +137,32 @@ def test_answers(spark, raw, signals):
     assert (None if r.j is None else "signals" not in r.m) == signals
 
 
+# What each cell of a judged sheet, date of a record and text of a page or record stands for.
+LABELS = [("Yes", 1), (" TRUE ", 1), ("1.0", 1), ("relevant", 1), ("n", 0), ("Not Relevant", 0), ("0", 0), ("maybe", None), ("", None), (None, None)]
+DATES = [("2024-02-29T10:00:00Z", "2024-02-29"), ("2023-02-29", "None"), ("20240101", "None"), ("2024-1-1", "None"), ("", "None"), (None, "None")]
+MARKUP = [
+    ("<p>A &amp; B&nbsp;&lt;c&gt;</p>", "A & B <c>"), ("x &#8212; &#x263A;&notaname; &copy", "x \u2014 \u263a¬aname; ©"), ("<SCRIPT>a&amp;b</SCRIPT>left<style>\nx</style> right", "left right"),
+    ("no markup", "no markup"), ("&amp;lt;", "&lt;"), ("", ""), (None, None),
+]
+PHRASES = [("AT&T", "at&t said", True), ("AT&T", "at t said", True), ("red-sea", "the Red Sea.", True), ("oil", "boil oils", False), ("oil", "(OIL)", True), ("!?", "what!?", False), ("oil", None, None)]
+
+
+def test_cells_dates_markup_and_words(spark):
+    for f, pairs in ((X.label, LABELS), (lambda c: X.parse_date(c).cast("string"), DATES), (X.html_text, MARKUP), (X.plain_words, [("  Red-Sea_Crisis, 红海 2!", "red sea crisis 红海 2"), ("...", ""), (None, None)])):
+        got = [r[0] for r in spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "i int, a string").orderBy("i").select(f(F.col("a"))).collect()]
+        assert got == [None if b == "None" else b for _, b in pairs]
+
+
+@pytest.mark.parametrize(("phrase", "text", "found"), PHRASES)
+def test_phrases_with_punctuation(spark, phrase, text, found):
+    assert spark.createDataFrame([(text,)], "t string").select(X.has_phrase(F.col("t"), phrase)).first()[0] is found
+
+
+def test_first_wins(spark):
+    df = spark.createDataFrame([("k", 2, "b"), ("k", 1, None), ("k", 1, "z"), (None, 5, "n")], "k string, o int, v string")
+    assert {r.k: r.v for r in C.first_wins(df, "k", ["o", "v"]).collect()} == {"k": None, None: "n"}
+
+
 def test_slug(spark):
     df = spark.createDataFrame([("http://a.b/c/red-sea_crisis.html?x=1#t",), ("http://a.b/c/d/",)], "u string")
     assert [r[0] for r in df.select(X.slug_title(F.col("u"))).collect()] == ["red sea crisis", "d"]
