@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = ("conf", "sev", "prior_count", "days_since", "prior_conf", "prior_sev")
 
@@ -43,37 +46,132 @@ def one_hot(df: DataFrame, column: str, most: int = 1000) -> tuple[list[str], Co
     return names, F.array(*[(c == n).cast("double") for n in names])
 
 
-def logistic(train: DataFrame, features: list[str], label: str, rows: int):
-    """Mean and deviation (population) of each feature, and the fitted model on standardised features with an L2 penalty of 1 over all rows together; the intercept isn't penalised."""
-    s = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    scale = [(s[f"m{i}"], s[f"s{i}"] or 1.0) for i in range(len(features))]
-    x = lambda df: df.withColumn("__x", array_to_vector(F.array(*[(F.col(c).cast("double") - m) / d for c, (m, d) in zip(features, scale, strict=True)])))
-    model = LogisticRegression(featuresCol="__x", labelCol="__y", predictionCol="__pred", rawPredictionCol="__raw", probabilityCol="__p", maxIter=100, tol=1e-6, regParam=1.0 / rows, standardization=False)
-    return model.fit(x(train.withColumn("__y", F.col(label).cast("double")))), x
-
-
-def held_out_scores(df: DataFrame, features: list[str], label: str, group: str, least: int = 10) -> DataFrame:
-    """``df`` with score: each group's probability of label 1 by a model of all other groups; 0.5 where these have under ``least`` rows or one label. One fit per group: groups are events, few."""
-    df = df.persist()  # read once per fold and iteration
-    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(group).agg(F.count("*"), F.sum(F.col(label).cast("int"))).collect()}
-    n, ones = (sum(c[i] for c in counts.values()) for i in (0, 1))
-    out = []
-    for g in sorted(counts):
-        own, rest = df.where(F.col(group) == g), df.where(F.col(group) != g)
-        rows, pos = n - counts[g][0], ones - counts[g][1]
-        if rows < least or not 0 < pos < rows:
-            out.append(own.withColumn("score", F.lit(0.5)))
-            continue
-        model, x = logistic(rest, features, label, rows)
-        out.append(model.transform(x(own)).withColumn("score", vector_to_array("__p")[1]).select(*df.columns, "score"))
-    result = out[0]
-    for o in out[1:]:
-        result = result.unionByName(o)
-    return result
+def group_sums(stats: dict, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, means, sums of squares about them and summed labels of each group, as arrays in the order of ``stats``."""
+    n = np.array([s["n"] for s in stats.values()], float)
+    mean = np.array([[s[f"m{i}"] or 0.0 for i in range(d)] for s in stats.values()]).reshape(len(n), d)
+    square = np.array([[s[f"v{i}"] or 0.0 for i in range(d)] for s in stats.values()]).reshape(len(n), d) * n[:, None]
+    return n, mean, square, np.array([s["ones"] or 0 for s in stats.values()], float)
+
+
+def newton_sums(rows: DataFrame, d: int, place: dict, centre: np.ndarray, spread: np.ndarray, beta: np.ndarray) -> dict[int, np.ndarray]:
+    """For each fold, over the rows that aren't its own: loss, gradient and upper half of the Hessian at ``beta`` (folds x features and intercept), for features less ``centre`` over ``spread``.
+    One pass for all folds; tasks send a row per fold, which are summed by fold before they come to the driver."""
+    upper = np.triu_indices(d + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(beta), 2 + d + len(upper[0])))
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x = np.column_stack([*((part.column(f"x{i}").to_numpy(zero_copy_only=False) - centre[i]) / spread[i] for i in range(d)), np.ones(part.num_rows)])
+                y = part.column("y").to_numpy(zero_copy_only=False)[:, None]
+                own = np.array([place.get(g, -1) for g in part.column("g").to_pylist()])[:, None]
+                teaches = own != np.arange(len(beta))
+                t = x @ beta.T
+                p = 1 / (1 + np.exp(-np.clip(t, -700, 700)))
+                total[:, 0] += ((np.logaddexp(0, t) - y * t) * teaches).sum(0)
+                total[:, 1 : d + 2] += ((p - y) * teaches).T @ x
+                total[:, d + 2 :] += (p * (1 - p) * teaches).T @ (x[:, upper[0]] * x[:, upper[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(beta)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["fold", "v"])
+
+    sent = rows.where("y is not null").mapInArrow(run, "fold int, v array<double>").select("fold", F.posexplode("v").alias("i", "v"))
+    out = {}
+    for r in sent.groupBy("fold", "i").agg(F.sum("v").alias("v")).collect():  # folds times numbers of a fold
+        out.setdefault(r["fold"], np.zeros(2 + d + len(upper[0])))[r["i"]] = r["v"]
+    return out
+
+
+def penalised_fits(rows: DataFrame, d: int, place: dict, mean: np.ndarray, spread: np.ndarray, centre: np.ndarray, scale: np.ndarray, passes: int = 60) -> np.ndarray:
+    """Weights and intercept of each fold on its own standardised features (``mean``, ``spread``: folds x features), with an L2 penalty of 1 on the weights, by Newton's method with halved steps
+    where a step raised the loss. All folds take their steps in the same pass over the rows."""
+    folds = len(mean)
+    # own standardised features out of commonly standardised ones: z = turn x
+    turn = np.zeros((folds, d + 1, d + 1))
+    turn[:, np.arange(d), np.arange(d)] = scale / spread
+    turn[:, :d, d] = (centre - mean) / spread
+    turn[:, d, d] = 1
+    penalty = np.append(np.ones(d), 0.0)
+    w, last, best = np.zeros((folds, d + 1)), np.zeros((folds, d + 1)), np.full(folds, np.inf)
+    upper = np.triu_indices(d + 1)
+    done = np.zeros(folds, bool)
+    for _ in range(passes):
+        sums = newton_sums(rows, d, place, centre, scale, np.einsum("fi,fij->fj", w, turn))
+        for f, s in sums.items():
+            if done[f]:
+                continue
+            loss = s[0] + 0.5 * (penalty * w[f] ** 2).sum()
+            if loss > best[f] + 1e-9 * (1 + abs(best[f])):
+                w[f] = (w[f] + last[f]) / 2
+                continue
+            h = np.zeros((d + 1, d + 1))
+            h[upper] = s[d + 2 :]
+            h = turn[f] @ (h + np.triu(h, 1).T) @ turn[f].T + np.diag(penalty)
+            step = np.linalg.lstsq(h, turn[f] @ s[1 : d + 2] + penalty * w[f], rcond=None)[0]
+            best[f], last[f], w[f] = loss, w[f], w[f] - step
+            done[f] = np.abs(step).max() < 1e-8
+        if done.all() or not sums:
+            break
+    return w
+
+
+def taught(df: DataFrame, features: list[str], label: str, group: Column) -> tuple[DataFrame, dict]:
+    """The numbers that fits read, x0, x1, ..., y and g, and the sums of each group that teach; null features count as 0, rows with a null label teach nothing."""
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.select(*xs, F.col(label).cast("double").alias("y"), group.alias("g"))
+    known = F.col("y").isNotNull()
+    of = lambda f, i: f(F.when(known, F.col(f"x{i}")))
+    sums = [F.count("y").alias("n"), F.sum("y").alias("ones"), *[of(F.avg, i).alias(f"m{i}") for i in range(len(features))], *[of(F.var_pop, i).alias(f"v{i}") for i in range(len(features))]]
+    return rows, {r["g"]: r for r in rows.groupBy("g").agg(*sums).collect()}
+
+
+def pooled(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation (population, 1 where it is 0) of groups taken together."""
+    total = max(1.0, n.sum())
+    m = (n[:, None] * mean).sum(0) / total
+    v = np.sqrt((square + n[:, None] * (mean - m) ** 2).sum(0) / total)
+    return m, np.where(v > 1e-12 * (1 + np.abs(m)), v, 1.0)
+
+
+def held_out_scores(df: DataFrame, features: list[str], label: str, group: str, least: int = 10, block: int = 64) -> DataFrame:
+    """``df`` with score: each group's probability of label 1 by a logistic model of all other groups, on features standardised there, with an L2 penalty of 1 over all rows together but none on
+    the intercept; 0.5 where these have under ``least`` rows or one label.
+
+    The models of ``block`` groups are fitted side by side, a pass over the rows for each Newton step of all of them; groups' sums and models come to the driver, so groups are events, few. Null
+    groups are a group of their own; null features count as 0, rows with a null label are scored but teach nothing; an empty table gives an empty result.
+    """
+    d = len(features)
+    rows, stats = taught(df, features, label, F.col(group))
+    n, mean, square, ones = group_sums(stats, d)
+    names, models = list(stats), []
+    fit = [i for i in range(len(names)) if n.sum() - n[i] >= least and 0 < ones.sum() - ones[i] < n.sum() - n[i]]
+    rows = rows.persist()  # read once per step
+    centre, scale = pooled(n, mean, square) if names else (np.zeros(d), np.ones(d))
+    for at in range(0, len(fit), block):
+        folds = fit[at : at + block]
+        m, v = (np.array(x) for x in zip(*[pooled(np.delete(n, i), np.delete(mean, i, 0), np.delete(square, i, 0)) for i in folds], strict=True))
+        w = penalised_fits(rows, d, {names[i]: k for k, i in enumerate(folds)}, m, v, centre, scale)
+        for k, i in enumerate(folds):
+            slope = w[k, :d] / v[k]
+            models.append((names[i], slope.tolist(), float(w[k, d] - slope @ m[k])))
+    rows.unpersist()
+    fields = [df.schema[group].dataType, T.ArrayType(T.DoubleType()), T.DoubleType()]
+    known = df.sparkSession.createDataFrame(models, T.StructType([T.StructField(c, t) for c, t in zip(("__g", "__slope", "__at"), fields, strict=True)]))
+    logit = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.get("__slope", F.lit(i)) for i, c in enumerate(features)), F.col("__at"))
+    scored = df.join(known, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return scored.select(*[df[c] for c in df.columns], F.coalesce(1 / (1 + F.exp(-logit)), F.lit(0.5)).alias("score"))
 
 
 def coefficients(df: DataFrame, features: list[str], label: str, top: int = 8) -> DataFrame:
-    """(feature, coef) of the ``top`` largest by size, from a fit on all rows."""
-    model, _ = logistic(df, features, label, df.count())
-    rows = sorted(zip(features, map(float, model.coefficients), strict=True), key=lambda r: (-abs(r[1]), r[0]))[:top]
-    return df.sparkSession.createDataFrame(rows, "feature string, coef double")
+    """(feature, coef) of the ``top`` largest by size, from a fit on all rows; all 0 without both labels."""
+    d = len(features)
+    rows, stats = taught(df, features, label, F.lit(0))
+    n, mean, square, ones = group_sums(stats, d)
+    w = np.zeros(d)
+    if 0 < ones.sum() < n.sum():
+        m, v = pooled(n, mean, square)
+        rows = rows.persist()
+        w = penalised_fits(rows, d, {}, m[None], v[None], m, v)[0, :d]
+        rows.unpersist()
+    ranked = sorted(zip(features, map(float, w), strict=True), key=lambda r: (-abs(r[1]), r[0]))[:top]
+    return df.sparkSession.createDataFrame(ranked, "feature string, coef double")

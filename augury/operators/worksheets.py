@@ -59,8 +59,9 @@ def carried_over(status: Column, new: Column, old: Column) -> Column:
 def extended_sample(rows: DataFrame, kept: DataFrame, event: str, key: str, hit: Column, hits: int, most: int, seed: int = 42) -> DataFrame:
     """``kept`` rows, and for each event new ones up to ``most`` in all: at most ``hits`` hits first, then at most ``most - hits`` others, in an arithmetic random order of integer keys."""
     order = [(F.col(key).cast("long") % 2147483647 * 1103515245 + F.lit(seed) * 12345) % 2147483647, F.col(key)]
-    fresh = rows.withColumn("__hit", hit).join(kept.select(key).distinct(), key, "left_anti")
-    drawn = fresh.withColumn("__rn", F.row_number().over(Window.partitionBy(event, "__hit").orderBy(*order))).where(F.col("__rn") <= F.when(F.col("__hit"), hits).otherwise(most - hits))
+    fresh = rows.withColumn("__hit", F.coalesce(hit, F.lit(False))).join(kept.select(key).distinct(), key, "left_anti")
+    first = lambda c, n: fresh.where(c).withColumn("__rn", F.row_number().over(Window.partitionBy(event).orderBy(*order))).where(F.col("__rn") <= F.lit(n))
+    drawn = first(F.col("__hit"), hits).unionByName(first(~F.col("__hit"), most - hits))  # limits are literals, so tasks cut a hot event before the shuffle
     have = kept.groupBy(event).agg(F.count("*").alias("__have"))
     picked = drawn.withColumn("__at", F.row_number().over(Window.partitionBy(event).orderBy(F.col("__hit").desc(), "__rn"))).join(have, event, "left")
     picked = picked.where(F.col("__at") <= most - F.coalesce("__have", F.lit(0)))

@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from augury.operators import match as M
 from augury.operators import metrics as A
 from augury.operators import resampling as B
 from augury.operators import worksheets as W
+from augury.plans import learning
 from augury.sources import io
 
 
@@ -111,11 +113,72 @@ def test_logistic_is_the_penalised_optimum(spark):
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ w))
         w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
-    assert got["a"] == pytest.approx(w[0], abs=1e-3) and got["b"] == pytest.approx(w[1], abs=1e-3)
+    assert got["a"] == pytest.approx(w[0], abs=1e-7) and got["b"] == pytest.approx(w[1], abs=1e-7)
     assert H.held_out_scores(df, ["a", "b"], "y", "g").count() == 60
     assert {r.score for r in H.held_out_scores(df.where("g < 2").limit(5), ["a"], "y", "g").collect()} == {0.5}
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_scores(x, y, groups, least=10):
+    """Held-out scores group by group, by plain Newton steps."""
+    out = np.full(len(y), 0.5)
+    for g in set(groups):
+        own = np.array([v == g for v in groups])
+        a, b = x[~own], y[~own]
+        if len(b) < least or len(set(b)) < 2:
+            continue
+        sd = a.std(0)
+        sd[sd == 0] = 1
+        z = np.c_[(a - a.mean(0)) / sd, np.ones(len(a))]
+        w, penalty = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-z @ w))
+            w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (p - b) + penalty @ w)
+        out[own] = 1 / (1 + np.exp(-np.c_[(x[own] - a.mean(0)) / sd, np.ones(own.sum())] @ w))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_held_out_scores_are_those_of_single_fits(spark, block):
+    rng = np.random.default_rng(5)
+    x = np.c_[rng.normal(size=(90, 2)) * [1, 500] + [0, 90000], np.full(90, 3.0)]
+    y = (x[:, 0] + rng.normal(size=90) > 0.5).astype(int)
+    g = [None if i % 7 == 0 else f"g{i % 7}" for i in range(90)]
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i]), g[i]) for i in range(90)], "i int, a double, b double, c double, y int, g string")
+    got = {r.i: r.score for r in H.held_out_scores(df, ["a", "b", "c"], "y", "g", block=block).collect()}
+    assert [got[i] for i in range(90)] == pytest.approx(plain_scores(x, y, g).tolist(), abs=1e-6)
+
+
+def test_held_out_scores_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (2.0, None, "a"), (3.0, 1, "b"), (1.0, 0, "b"), (0.0, 0, None)], "v double, y int, g string")
+    got = H.held_out_scores(df, ["v"], "y", "g", least=1).collect()
+    assert len(got) == 5 and all(0 < r.score < 1 for r in got)
+    assert H.held_out_scores(df.limit(0), ["v"], "y", "g").count() == 0
+    assert {r.coef for r in H.coefficients(df.limit(0), ["v"], "y").collect()} == {0.0}
+
+
+def test_registered_scores_are_those_of_single_fits(spark):
+    h, names = learning.featured(spark, SMALL)
+    rows = h.where("pool = 0").collect()
+    x = np.array([[float(r[c]) for c in names] for r in rows])
+    want = plain_scores(x, np.array([r.y for r in rows]), [r.event for r in rows])
+    got = sorted((r.event, r.sid, r.y, r.score) for r in learning.loeo_scores(spark, SMALL).collect())
+    for a, b in zip(got, sorted((r.event, r.sid, r.y, s) for r, s in zip(rows, want, strict=True)), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-6)
+
+
+def test_recoverability_is_that_of_single_fits(spark):
+    s = A.pre_onset(learning.leads(spark, SMALL)).where("forward").toPandas()
+    e = s.groupby("event").apply(lambda x: pd.Series({"conf": x.conf.mean(), "sev": x.sev.mean(), "g": x.g.mean(), "part": x.forward.mean(), "n": len(x), "y": int(((x.arm == "O") & x.is_tp).sum() > ((x.arm == "F") & x.is_tp).sum())}), include_groups=False)
+    e = e[e.n >= 3].astype(float)
+    want = plain_scores(e[["conf", "sev", "g", "part", "n"]].to_numpy(), e.y.to_numpy(), list(e.index), least=1)
+    got = {r.event: (r.y, r.score) for r in learning.schema_recoverability(spark, SMALL).collect()}
+    assert sorted(got) == sorted(e.index)
+    assert [got[k][0] for k in e.index] == e.y.tolist() and [got[k][1] for k in e.index] == pytest.approx(want.tolist(), abs=2e-6)
+
+
 def test_history_over_months(spark):
     rows = [("e", i, f"2024-{1 + i // 3:02d}-{1 + i % 3:02d}", float(i)) for i in range(9)] + [("f", 1, "2024-01-01", 2.0)]
     df = spark.createDataFrame(rows, "k string, i int, d string, v double").withColumn("d", F.to_date("d"))
