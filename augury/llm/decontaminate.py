@@ -149,14 +149,20 @@ class Items:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", min_match: int = 5, coverage: float = 0.6, block_bytes: int = 8 << 20) -> DataFrame:
-    """(key, item_key, coverage, tiles) of every document and test item with ``coverage`` or more; tiles: "place in item:place in document:tokens", comma-joined."""
+    """(key, item_key, coverage, tiles) of every document and test item with ``coverage`` or more; tiles: "place in item:place in document:tokens", comma-joined. An item that is repeated is matched once, and its pairs repeated.
+
+    Items are taken in blocks of about ``block_bytes`` by a hash of id and text, one block at a time, each with a pass over the documents; a single longer item is a block of its own size."""
+    if key == item_key:
+        raise ValueError(f"documents and items both name their key {key}")
+    items = items.groupBy(item_key, item_text).agg(F.count("*").alias("__times"))  # so that a block holds no more than its share, however often an item is repeated
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
     schema = T.StructType([docs.schema[key], T.StructField(item_key, T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.StringType())])
+    sent = T.StructType([*schema.fields, T.StructField("__times", T.LongType())])
     given = docs.select(key, docs[text].alias("__text"))
 
     def block(i: int) -> DataFrame:
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(n_blocks)) == i).select(item_key, item_text).orderBy(item_key).collect()]
+        rows = [((r[0], r[2]), r[1]) for r in items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(n_blocks)) == i).select(item_key, item_text, "__times").orderBy(item_key).collect()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = Items(rows, min_match)
@@ -164,9 +170,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key:
                 found = [(j, *m) for j, t in enumerate(texts(b, "__text")) for m in table.matches(t, coverage)]
                 if found:
                     j, item, share, tile = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(j)), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(tile, pa.string())], names=schema.names)
+                    ids, times = zip(*item, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(j)), pa.array(ids, pa.int64()), pa.array(share, pa.float64()), pa.array(tile, pa.string()), pa.array(times, pa.int64())], names=sent.names)
 
-        return given.mapInArrow(run, schema)
+        repeated = F.explode(F.sequence(F.lit(1).cast("long"), "__times"))
+        return given.mapInArrow(run, sent).select(*schema.names, repeated.alias("__i")).drop("__i")
 
     if n_blocks == 1:
         return block(0)

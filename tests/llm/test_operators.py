@@ -366,6 +366,8 @@ def test_contamination_in_blocks_of_repetitive_items(spark):
     items = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
     got = decontaminate.contaminated(docs(spark, [(k, t, "x", "y") for k, t in rows]), items, block_bytes=200).select("doc_id", "item_id", "coverage").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(k, i, 1.0) for k in (1, None) for i in (7, 7, None)], key=repr)
+    with pytest.raises(ValueError, match="doc_id"):
+        decontaminate.contaminated(docs(spark, []), items, item_key="doc_id")
     assert decontaminate.contaminated(docs(spark, []), items).count() == decontaminate.contaminated(docs(spark, [(1, item, "", "")]), items.limit(0)).count() == 0
 
 
