@@ -18,8 +18,8 @@ def sixth(total_thousandths: Column, n: Column) -> Column:
     return F.when(n > 0, F.floor((total_thousandths * 2000 + n) / (n * 2)) / F.lit(1000000.0)).otherwise(F.lit(0.0))
 
 
-def history(df: DataFrame, key: str, day: str, tie: str, means: dict[str, str]) -> DataFrame:
-    """``df`` with prior_count, days_since the last and, for each value column in ``means``, the mean of the earlier ones: all from strictly earlier rows of the key, by (day, tie).
+def history(df: DataFrame, key: str, day: str, tie: str | list[str], means: dict[str, str]) -> DataFrame:
+    """``df`` with prior_count, days_since the last and, for each value column in ``means``, the mean of the earlier ones: all from strictly earlier rows of the key, by (day, tie). Rows alike in these have no order of their own: ``tie`` has to tell all different rows apart if a run is to repeat the last.
 
     Two levels of prefix sums: windows run inside (key, month) only, so that a key with a third of all rows is spread over its months, and the months' totals, few per key, are carried over by a join.
     """
@@ -29,7 +29,7 @@ def history(df: DataFrame, key: str, day: str, tie: str, means: dict[str, str])
     totals = rows.groupBy(key, "__m").agg(F.count("*").alias("__n"), F.max(day).alias("__last"), *[F.sum(c).alias(f"__s_{v}") for v, c in milli.items()])
     before = Window.partitionBy(key).orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)  # a row per month
     carried = totals.select(key, "__m", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_c") for c in ("__n", *(f"__s_{v}" for v in means))], F.max("__last").over(before).alias("__last_c"))
-    inside = Window.partitionBy(key, "__m").orderBy(day, tie)
+    inside = Window.partitionBy(key, "__m").orderBy(day, *([tie] if isinstance(tie, str) else tie))
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     j = rows.join(carried, [key, "__m"])
     n = F.count("*").over(earlier) + F.col("__n_c")

@@ -11,6 +11,8 @@ from augury.plans.adapters import LEADS, leads
 from augury.plans.catalog import query
 
 MEANS = {"conf": "prior_conf", "sev": "prior_sev"}
+#: What orders different rows of one signal and day, which (day, sid) leaves open.
+TIES = ["conf", "sev", "g", "kind", "pool", "y"]
 MEAN = "case when count(*) over w > 0 then floor((coalesce(sum(cast(round({v} * 1000) as bigint)) over w, 0) * 2000 + count(*) over w) / (count(*) over w * 2)) / 1000000.0::double else 0 end"
 
 
@@ -28,7 +30,7 @@ def featured(spark, d) -> tuple[DataFrame, list[str]]:
     """Forward signals of the training pools with their features and one place per kind."""
     s = leads(spark, d).where("forward and lead between -60 and 180 and lead <> 0")
     s = s.select("event", "sid", "day", "conf", "sev", "g", F.col("arm").alias("kind"), F.when(F.col("lead") > 0, 0).otherwise(1).alias("pool"), ((F.col("lead") > 0) & F.col("is_tp")).cast("int").alias("y"))
-    h = H.history(s, "event", "day", "sid", MEANS)
+    h = H.history(s, "event", "day", ["sid", *TIES], MEANS)
     names, hot = H.one_hot(h, "kind")
     h = h.withColumn("__hot", hot)
     return h.select("*", *[F.get("__hot", F.lit(i)).alias(f"kind={n}") for i, n in enumerate(names)]).drop("__hot"), [*H.FEATURES, "g", *(f"kind={n}" for n in names)]

@@ -186,6 +186,18 @@ def test_history_over_months(spark):
     assert got["e", 0] == (0, 0, 0.0) == got["f", 1] and got["e", 3] == (3, 29, 1.0) and got["e", 8] == (8, 1, 3.5)
 
 
+def test_features_of_tied_rows_do_not_go_by_the_order_of_the_table(spark, tmp_path):
+    orders = spark.createDataFrame([(1, 5, "1996-03-01")], "o_orderkey long, o_custkey long, d string").select("o_orderkey", "o_custkey", F.to_timestamp("d").alias("o_orderdate"))
+    lines = [(1, 1, 8.0 + i, 0.01 * (i + 1), "RAN"[i % 3], "OF"[i % 2], "1996-02-20") for i in range(6)] + [(1, 3, 7.0, 0.05, "R", "F", "1996-02-20")]
+    got = []
+    for name, rows in (("a", lines), ("b", lines[::-1])):
+        orders.write.parquet(str(tmp_path / name / "orders.parquet"))
+        i = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, d string").coalesce(1)
+        i.withColumn("l_shipdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        got.append(sorted(map(tuple, learning.causal_features(spark, str(tmp_path / name)).collect())))
+    assert len(got[0]) == 7 and got[0] == got[1]
+
+
 def test_first_window_wins(spark):
     e = spark.createDataFrame([("x", 2, "2024-01-01"), ("y", 1, "2024-01-03"), ("z", 3, None)], "event string, o int, s string").withColumn("s", F.to_date("s"))
     r = spark.createDataFrame([(f"2024-01-{d:02d}",) for d in (1, 2, 3, 5, 9)] + [(None,)], "day string").withColumn("day", F.to_date("day"))
