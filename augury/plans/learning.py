@@ -9,6 +9,7 @@ from augury.operators import history as H
 from augury.operators import metrics as A
 from augury.plans.adapters import LEADS, leads
 from augury.plans.catalog import query
+from augury.sources.shared import stored
 
 MEANS = {"conf": "prior_conf", "sev": "prior_sev"}
 #: What orders different rows of one signal and day, which (day, sid) leaves open.
@@ -27,10 +28,10 @@ def prior_history_features(spark, d):
 
 
 def featured(spark, d) -> tuple[DataFrame, list[str]]:
-    """Forward signals of the training pools with their features and one place per kind."""
+    """Forward signals of the training pools with their features and one place per kind. Signals and features are stored, as fits and scores read them many times: lineitem meets orders once."""
     s = leads(spark, d).where("forward and lead between -60 and 180 and lead <> 0")
     s = s.select("event", "sid", "day", "conf", "sev", "g", F.col("arm").alias("kind"), F.when(F.col("lead") > 0, 0).otherwise(1).alias("pool"), ((F.col("lead") > 0) & F.col("is_tp")).cast("int").alias("y"))
-    h = H.history(s, "event", "day", ["sid", *TIES], MEANS)
+    h = stored(H.history(stored(s, "signals"), "event", "day", ["sid", *TIES], MEANS), "features")
     names, hot = H.one_hot(h, "kind")
     h = h.withColumn("__hot", hot)
     return h.select("*", *[F.get("__hot", F.lit(i)).alias(f"kind={n}") for i, n in enumerate(names)]).drop("__hot"), [*H.FEATURES, "g", *(f"kind={n}" for n in names)]
@@ -56,7 +57,7 @@ def loeo_scores(spark, d):
 def frame_separability(spark, d):
     """How well features alone tell the pools apart, out of fold."""
     h, names = featured(spark, d)
-    s = H.held_out_scores(h, names, "pool", "event").select(F.round("score", 6).alias("score"), (F.col("pool") == 1).alias("is_tp"))
+    s = stored(H.held_out_scores(h, names, "pool", "event").select(F.round("score", 6).alias("score"), (F.col("pool") == 1).alias("is_tp")), "scores")
     return A.auc(s, "score", F.col("is_tp")).join(A.average_precision(s, "score", "is_tp").select("ap"))
 
 
@@ -72,4 +73,4 @@ def schema_recoverability(spark, d):
     s = A.pre_onset(leads(spark, d)).where("forward")
     hit = lambda a: F.count_if((F.col("arm") == a) & F.col("is_tp"))
     e = s.groupBy("event").agg(F.avg("conf").alias("conf"), F.avg("sev").alias("sev"), F.avg("g").alias("g"), F.avg(F.col("forward").cast("int")).alias("part"), F.count("*").alias("n"), (hit("O") > hit("F")).cast("int").alias("y")).where("n >= 3")
-    return H.held_out_scores(e, ["conf", "sev", "g", "part", "n"], "y", "event", least=1).select("event", "y", F.round("score", 6).alias("score"))
+    return H.held_out_scores(stored(e, "means"), ["conf", "sev", "g", "part", "n"], "y", "event", least=1).select("event", "y", F.round("score", 6).alias("score"))

@@ -186,6 +186,12 @@ def test_history_over_months(spark):
     assert got["e", 0] == (0, 0, 0.0) == got["f", 1] and got["e", 3] == (3, 29, 1.0) and got["e", 8] == (8, 1, 3.5)
 
 
+def test_fits_and_scores_read_stored_features(spark):
+    h, _ = learning.featured(spark, SMALL)
+    assert h.count() > 0 and not [f for f in h.inputFiles() if "lineitem" in f or "orders" in f]
+    assert not [f for f in learning.frame_separability(spark, SMALL).inputFiles() if "lineitem" in f or "orders" in f]
+
+
 def test_features_of_tied_rows_do_not_go_by_the_order_of_the_table(spark, tmp_path):
     orders = spark.createDataFrame([(1, 5, "1996-03-01")], "o_orderkey long, o_custkey long, d string").select("o_orderkey", "o_custkey", F.to_timestamp("d").alias("o_orderdate"))
     lines = [(1, 1, 8.0 + i, 0.01 * (i + 1), "RAN"[i % 3], "OF"[i % 2], "1996-02-20") for i in range(6)] + [(1, 3, 7.0, 0.05, "R", "F", "1996-02-20")]
