@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from augury.sources.shared import stored
+
 BLOCK = 4096
 STEP = 250
 SCALE = 1_000_000
@@ -24,9 +26,17 @@ def generator(*key: int) -> np.random.Generator:
     return np.random.default_rng([k % (1 << 63) for k in key])
 
 
-def counted(df: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """(group, v, n): how often each distinct value (in millionths, whole numbers) stands in each group; ``group`` is a struct of ``by``. Null values are left out."""
-    return df.select(F.struct(*by).alias("group"), F.round(value * SCALE).cast("long").alias("v")).where("v is not null").groupBy("group", "v").agg(F.count("*").alias("n"))
+def tallied(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """(*by, v, weight): how often each distinct value stands in each group, stored, so that all that follows reads a row per value instead of ``df``."""
+    return stored(df.groupBy(*by, value.alias("v")).agg(F.count("*").alias("weight")), "tally")
+
+
+def counted(df: DataFrame, by: list[str], value: Column, weight: Column | None = None) -> DataFrame:
+    """(group, v, n): how often each distinct value (in millionths, whole numbers) stands in each group, a row counting ``weight`` times; ``group`` is a struct of ``by``. Null values are left out. Stored, as
+    each draw reads it more than once."""
+    w = F.lit(1) if weight is None else weight
+    c = df.select(F.struct(*by).alias("group"), F.round(value * SCALE).cast("long").alias("v"), w.alias("w")).where("v is not null")
+    return stored(c.groupBy("group", "v").agg(F.sum("w").alias("n")), "counts")
 
 
 def blocks(counts: DataFrame) -> DataFrame:
@@ -74,18 +84,18 @@ def replicates(spark, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "rep")
 
 
-def group_means(df: DataFrame, by: list[str], value: Column, n: int = 2000, seed: int = 42) -> DataFrame:
-    """(*by, rep, mean): each group's items resampled within it."""
-    b = blocks(counted(df, by, value))
+def group_means(df: DataFrame, by: list[str], value: Column, n: int = 2000, seed: int = 42, weight: Column | None = None) -> DataFrame:
+    """(*by, rep, mean): each group's items resampled within it; a row stands for ``weight`` items."""
+    b = blocks(counted(df, by, value, weight))
     sizes = totals(b).select("group", F.col("n").alias("m"))
     asked = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return drawn(b, asked, seed).join(sizes, "group").select("group.*", "rep", (F.col("s") / F.col("m") / SCALE).alias("mean"))
 
 
-def pooled_means(df: DataFrame, by: str, value: Column, within: list[str] | None = None, n: int = 2000, seed: int = 42) -> DataFrame:
-    """(*within, rep, mean): groups of ``by`` drawn with replacement, as many as there are, then the items of each drawn group; pooled. Separately for each value of ``within``."""
+def pooled_means(df: DataFrame, by: str, value: Column, within: list[str] | None = None, n: int = 2000, seed: int = 42, weight: Column | None = None) -> DataFrame:
+    """(*within, rep, mean): groups of ``by`` drawn with replacement, as many as there are, then the items of each drawn group; pooled. Separately for each value of ``within``; a row stands for ``weight`` items."""
     within = within or []
-    b = blocks(counted(df, [*within, by], value))
+    b = blocks(counted(df, [*within, by], value, weight))
     sizes = totals(b).select("group", "n", *[F.col(f"group.{w}").alias(w) for w in within], F.col(f"group.{by}").alias(by))
     names = sizes.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct(by, "n"))).alias("groups"))
     names = names.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // STEP).cast("long")))).withColumn("id", F.xxhash64(*within, F.lit(seed)))

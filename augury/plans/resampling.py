@@ -108,44 +108,54 @@ def bootstrap_curve(spark, d):
     return B.curve(A.pre_onset(leads(spark, d)).where("is_tp"), "event", "lead", GRID, REPLICATES)
 
 
-def points(df, by, value):
-    """The observed mean and number of each group."""
-    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("point"), F.count("*").alias("n"))
+def points(t, by):
+    """The observed mean and number of each group of a tally."""
+    known = F.sum(F.when(F.col("v").isNotNull(), F.col("weight")))
+    return t.groupBy(*by).agg(F.round(F.sum(F.col("v") * F.col("weight")) / known, 6).alias("point"), F.coalesce(F.sum("weight"), F.lit(0)).alias("n"))
+
+
+def scores(spark, d):
+    """Tally of the score before the onset by event (as text) and arm."""
+    return N.tallied(A.pre_onset(leads(spark, d)).withColumn("event", F.col("event").cast("string")), ["event", "arm"], A.fwgs("v3"))
 
 
 @query()
 def event_intervals(spark, d):
     """Each event's mean score with its interval, signals resampled within the event; then all events pooled, events and their signals resampled."""
-    s, v = A.pre_onset(leads(spark, d)), A.fwgs("v3")
-    s = s.withColumn("event", F.col("event").cast("string"))
-    one = points(s, ["event"], v).join(N.bounds(N.group_means(s, ["event"], v, REPLICATES), ["event"]), "event")
-    pool = points(s.withColumn("event", F.lit("POOLED")), ["event"], v).join(N.bounds(N.pooled_means(s, "event", v, n=REPLICATES).withColumn("event", F.lit("POOLED")), ["event"]), "event")
+    t = scores(spark, d)
+    one = points(t, ["event"]).join(N.bounds(N.group_means(t, ["event"], F.col("v"), REPLICATES, weight=F.col("weight")), ["event"]), "event")
+    pool = points(t.withColumn("event", F.lit("POOLED")), ["event"]).join(N.bounds(N.pooled_means(t, "event", F.col("v"), n=REPLICATES, weight=F.col("weight")).withColumn("event", F.lit("POOLED")), ["event"]), "event")
     return one.unionByName(pool)
 
 
 @query()
 def model_intervals(spark, d):
     """Event intervals of each model (here: arm), and each model's pooled interval."""
-    s, v = A.pre_onset(leads(spark, d)).withColumn("event", F.col("event").cast("string")), A.fwgs("v3")
-    one = points(s, ["arm", "event"], v).join(N.bounds(N.group_means(s, ["arm", "event"], v, REPLICATES), ["arm", "event"]), ["arm", "event"])
-    pool = N.bounds(N.pooled_means(s, "event", v, ["arm"], REPLICATES), ["arm"]).withColumn("event", F.lit("POOLED"))
-    return one.unionByName(points(s, ["arm"], v).join(pool, "arm"))
+    t = scores(spark, d)
+    one = points(t, ["arm", "event"]).join(N.bounds(N.group_means(t, ["arm", "event"], F.col("v"), REPLICATES, weight=F.col("weight")), ["arm", "event"]), ["arm", "event"])
+    pool = N.bounds(N.pooled_means(t, "event", F.col("v"), ["arm"], REPLICATES, weight=F.col("weight")), ["arm"]).withColumn("event", F.lit("POOLED"))
+    return one.unionByName(points(t, ["arm"]).join(pool, "arm"))
 
 
 @query()
 def cell_intervals(spark, d):
     """Half-widths of the cells of an event by model chart, and whether an interval leaves out 0."""
-    s, v = A.pre_onset(leads(spark, d)), A.fwgs("v3")
-    c = N.bounds(N.group_means(s, ["event", "arm"], v, REPLICATES), ["event", "arm"], ends="outer")
-    return points(s, ["event", "arm"], v).join(c, ["event", "arm"]).select("event", "arm", "point", "n", F.round((F.col("hi") - F.col("lo")) / 2, 6).alias("half"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("off_zero"))
+    t = scores(spark, d).withColumn("event", F.col("event").cast("int"))
+    c = N.bounds(N.group_means(t, ["event", "arm"], F.col("v"), REPLICATES, weight=F.col("weight")), ["event", "arm"], ends="outer")
+    return points(t, ["event", "arm"]).join(c, ["event", "arm"]).select("event", "arm", "point", "n", F.round((F.col("hi") - F.col("lo")) / 2, 6).alias("half"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("off_zero"))
 
 
 @query()
 def two_stage_intervals(spark, d):
-    """Intervals of precision, of the score before the onset and of the forward share after it, events resampled and then their signals."""
-    pre, post = A.pre_onset(leads(spark, d)), A.post_onset(leads(spark, d), 60)
+    """Intervals of precision, of the score before the onset and of the forward share after it, events resampled and then their signals. One pass over the signals tallies all three."""
+    pre, post = F.col("lead").between(1, 180), (-F.col("lead")).between(1, 60)
+    values = {"precision": (pre, F.col("is_tp").cast("double")), "fwgs": (pre, A.fwgs("v3")), "beta0": (post, F.col("forward").cast("double"))}
+    each = F.array(*[F.when(c, F.struct(F.lit(name).alias("measure"), v.alias("x"))) for name, (c, v) in values.items()])
+    s = leads(spark, d).where(pre | post).select("event", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("m")).select("event", "m.*")
+    t = N.tallied(s, ["measure", "event"], F.col("x"))
     out = None
-    for name, s, v in (("precision", pre, F.col("is_tp").cast("double")), ("fwgs", pre, A.fwgs("v3")), ("beta0", post, F.col("forward").cast("double"))):
-        one = points(s, [], v).withColumn("measure", F.lit(name)).join(N.bounds(N.pooled_means(s, "event", v, n=REPLICATES).withColumn("measure", F.lit(name)), ["measure"], ends="outer"), "measure")
+    for name in values:
+        own = t.where(F.col("measure") == name)
+        one = points(own, []).withColumn("measure", F.lit(name)).join(N.bounds(N.pooled_means(own, "event", F.col("v"), n=REPLICATES, weight=F.col("weight")).withColumn("measure", F.lit(name)), ["measure"], ends="outer"), "measure")
         out = one if out is None else out.unionByName(one)
     return out

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from augury.operators import counts as N
 from augury.operators import keywords as K
 from augury.operators import records as P
+from augury.plans import resampling
+from augury.plans.adapters import leads
 from augury.plans.registry import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -84,6 +86,24 @@ def test_means_by_counts_are_distributed_as_those_of_items(spark, monkeypatch):
     assert len(pooled) == 1000 and abs(pooled.mean() - np.mean(plain)) < 0.1 and abs(pooled.std() / np.std(plain) - 1) < 0.12
 
 
+def test_intervals_read_stored_tallies(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(resampling, "leads", lambda s, d: calls.append(d) or leads(s, d))
+    for name in ("two_stage_intervals", "event_intervals", "model_intervals", "cell_intervals"):
+        df = QUERIES[name](spark, D)
+        assert len(calls) == 1 and not [f for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+        calls.clear()
+
+
+def test_weighted_rows_draw_as_repeated_ones(spark):
+    rows = [("a", 0.5, 3), ("a", 0.25, 2), ("b", 1.0, 4), ("b", None, 2)]
+    t = spark.createDataFrame(rows, "g string, v double, weight long")
+    flat = spark.createDataFrame([(g, v) for g, v, w in rows for _ in range(w)], "g string, v double")
+    for f in (lambda df, w: N.group_means(df, ["g"], F.col("v"), 30, weight=w), lambda df, w: N.pooled_means(df, "g", F.col("v"), n=30, weight=w)):
+        assert sorted(map(tuple, f(t, F.col("weight")).collect())) == sorted(map(tuple, f(flat, None).collect()))
+    assert {(r.g, r.point, r.n) for r in resampling.points(t, ["g"]).collect()} == {("a", 0.4, 5), ("b", 1.0, 6)}
+
+
 def test_means_of_one_value_have_no_spread(spark):
     df = spark.createDataFrame([("a", "m", 0.25)] * 9 + [("b", "m", 0.25)] * 4 + [("a", "n", -1.5)], "e string, arm string, x double")
     assert {r["mean"] for r in N.pooled_means(df, "e", F.col("x"), ["arm"], 50).where("arm = 'm'").collect()} == {0.25}
