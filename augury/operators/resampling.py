@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.operators.metrics import SIX
+from augury.sources.shared import stored
 
 PRIME = 2147483647
 #: Multipliers of replicate, slot and item, then the seed.
 STEP = (1000003, 7919, 69621)
 SEED = 42
+#: Places of the hash's order that a task takes at once.
+BLOCK = 1 << 20
 
 
 def with_drawn(df: DataFrame, name: str, n: str, *terms: str) -> DataFrame:
@@ -49,13 +54,56 @@ def shares(df: DataFrame, by: str, flag: str, replicates: int = 2000) -> DataFra
     return event_draws(e, by, replicates).groupBy("rep").agg(F.round(F.sum("k") / F.sum("n"), SIX).alias("share"))
 
 
+def permuted(x: np.ndarray) -> np.ndarray:
+    """The two rounds of ``with_drawn``."""
+    for _ in range(2):
+        s = x * x % PRIME
+        x = (s * s % PRIME * x + 12345) % PRIME
+    return x
+
+
 def two_stage_shares(df: DataFrame, by: str, flag: str, replicates: int = 2000) -> DataFrame:
-    """(rep, share) of ``flag``, resampling events and then the signals in each: of n signals with k flags, a drawn number below k is a flag, so signals are counted once and
-    never joined. The work is replicates times signals, without a shuffle but that of the sums."""
-    e = df.groupBy(by).agg(F.sum(F.col(flag).cast("int")).alias("k"), F.count("*").alias("n"))
-    d = event_draws(e, by, replicates).select("rep", "slot", "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("item"))
-    d = with_drawn(d, "hit", "n", "rep", "slot", "item")
-    return d.groupBy("rep").agg(F.round(F.count_if(F.col("hit") < F.col("k")) / F.count("*"), SIX).alias("share"))
+    """(rep, share) of ``flag``, resampling events and then the signals in each: of n signals with k flags, a drawn number below k is a flag, so signals are counted once and never joined."""
+    e = df.groupBy(by).agg(F.coalesce(F.sum(F.col(flag).cast("int")), F.lit(0)).alias("k"), F.count("*").alias("n"))
+    return counted_shares(stored(e, "events"), by, replicates)
+
+
+def counted_shares(e: DataFrame, by: str, replicates: int, block: int = BLOCK) -> DataFrame:
+    """``two_stage_shares`` of events given as (by, k, n).
+
+    The items of a drawn event go through the hash in steps of ``STEP[2]``, that is, they are a run of n places in one fixed order of all numbers below ``PRIME``. This order is cut into blocks; a task hashes a
+    block once for all runs in it, or only the runs where these are shorter, and takes each run's flags from running counts. So the work is replicates times items or, if less, the order's length times events, however many
+    signals there are, in tasks of equal size.
+    """
+    start = (F.col("rep") * STEP[0] + F.col("slot") * STEP[1] + SEED) % PRIME * pow(STEP[2], -1, PRIME) % PRIME
+    d = event_draws(e, by, replicates).select("rep", "k", "n", start.alias("a")).withColumn("b", F.col("a") + F.col("n"))
+    for name, size in (("lap", PRIME), ("block", block)):  # runs are cut where the order begins anew, then at the blocks
+        at = F.lit(size).cast("long")
+        d = d.withColumn(name, F.explode(F.sequence(F.expr(f"a div {size}L"), F.expr(f"(b - 1) div {size}L"))))
+        d = d.withColumns({"a": F.greatest(F.col("a"), F.col(name) * at) - F.col(name) * at, "b": F.least(F.col("b"), (F.col(name) + 1) * at) - F.col(name) * at})
+
+    def hits(f: pd.DataFrame) -> pd.DataFrame:
+        first = int(f["block"].iat[0]) * block
+        whole = permuted((first + np.arange(block)) * STEP[2] % PRIME) if (f["b"] - f["a"]).sum() >= block else None
+        out = []
+        for (n, k), g in f.groupby(["n", "k"]):
+            a, b = g["a"].to_numpy(), g["b"].to_numpy()
+            size = b - a
+            if size.sum() < block:  # only the runs
+                end = np.cumsum(size)
+                i = np.arange(end[-1]) + np.repeat(a - (end - size), size)
+                x, a, b = permuted((first + i) * STEP[2] % PRIME) if whole is None else whole[i], end - size, end
+            else:
+                x = whole
+            x = x.astype(np.uint32)
+            r = x - x // np.uint32(n) * np.uint32(n) if n < PRIME else x
+            under = np.concatenate([[0], np.cumsum(r < k)])
+            out.append(pd.DataFrame({"rep": g["rep"].to_numpy(), "hits": under[b] - under[a], "items": size}))
+        return pd.concat(out).groupby("rep", as_index=False).sum()
+
+    tasks = 4 * e.sparkSession.sparkContext.defaultParallelism  # few rows, much work: not for the planner to put together
+    per = d.select("rep", "k", "n", "a", "b", "block").repartition(tasks, "block").groupBy("block").applyInPandas(hits, "rep long, hits long, items long")
+    return per.groupBy("rep").agg(F.round(F.sum("hits") / F.sum("items"), SIX).alias("share"))
 
 
 def paired(df: DataFrame, by: str, arm: str, a: str, b: str, replicates: int = 2000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from augury.operators import counts as N
 from augury.operators import keywords as K
 from augury.operators import records as P
+from augury.operators import resampling as B
 from augury.plans import resampling
 from augury.plans.adapters import leads
 from augury.plans.registry import QUERIES
@@ -60,6 +61,18 @@ def test_specific_rows_equal_a_plain_search(spark):
     assert got == want and len(want) > 50
 
 
+def test_texts_are_searched_once_and_not_shuffled(spark):
+    words = ["ñezll", "mañezll", "ezll", "del", "delé", "éa", "a", "del红", "红del", "海", "öl", "x"]
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(300)]
+    kws = ["ñezll del", "ezll", "a del 红", "ezll del", "del é", "a x del", "红", "红del", "l", "éa a", "x", "öl x", "x öl"]
+    f = K.fired(spark.createDataFrame(rows, "id long, t string"), "id", {"t": "t"}, spark.createDataFrame([("e", i, k) for i, k in enumerate(kws)], "event string, place int, keyword string"))
+    got = {(r["key"], r["keyword"]) for r in f.collect()}
+    assert got == {(i, k) for i, t in rows for k in kws if re.search(rf"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])", t)} and len({k for _, k in got}) > 8
+    p = plan(QUERIES["specific_rows"](spark, D))
+    assert "regexp_like" not in p.lower() and "rlike" not in p.lower() and "SortMergeJoin" not in p
+
+
 def test_filters_of_samples(spark):
     df = spark.createDataFrame([("https://x/Red-Sea_ships.html?q",), ("https://x/oil",), (None,)], "url string")
     hay = K.haystack(F.col("url"))
@@ -86,6 +99,20 @@ def test_means_by_counts_are_distributed_as_those_of_items(spark, monkeypatch):
     assert len(pooled) == 1000 and abs(pooled.mean() - np.mean(plain)) < 0.1 and abs(pooled.std() / np.std(plain) - 1) < 0.12
 
 
+@pytest.mark.parametrize("block", [1 << 12, 1 << 20])
+def test_shares_of_counted_events_are_those_of_single_draws(spark, block):
+    e = [("a", 300, 2000), ("b", 0, 1), ("c", 9000, 20000), ("d", 9000, 20000)]
+    got = {r.rep: r.share for r in B.counted_shares(spark.createDataFrame(e, "event string, k long, n long"), "event", 6, block).collect()}
+    for rep in range(6):
+        hit = n = 0
+        for slot in range(4):
+            x = np.array([rep * B.STEP[0] + slot * B.STEP[1] + B.SEED]) % B.PRIME
+            _, k, size = e[int(B.permuted(x)[0]) % 4]
+            x = (rep * B.STEP[0] + slot * B.STEP[1] + B.SEED + np.arange(size) * B.STEP[2]) % B.PRIME
+            hit, n = hit + int((B.permuted(x) % size < k).sum()), n + size
+        assert got[rep] == round(hit / n, 6)
+
+
 def test_intervals_read_stored_tallies(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(resampling, "leads", lambda s, d: calls.append(d) or leads(s, d))
