@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from augury.functions.text import plain_words, slug_title
+from augury.sources.shared import stored
 
 # Words that say too little to be keywords of their own.
 GENERIC = (
@@ -44,41 +48,127 @@ def alone(lists: DataFrame) -> DataFrame:
     return lists.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists(wide, lambda p: F.array_contains(F.split(p, " "), t))))
 
 
-def marks(text: Column) -> Column:
-    """What a keyword is looked up by: the runs of ASCII letters and digits of a normalised text, and of all other runs the single characters and pairs."""
-    ascii_runs = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
-    other = F.filter(F.split(text, "[a-z0-9 ]+"), lambda w: w != "")
-    one = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.concat(F.lit("~"), F.substring(w, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(ascii_runs, F.flatten(F.transform(other, lambda w: F.concat(one(w, 1), one(w, 2))))))
-
-
-def own_marks(keyword: Column) -> Column:
-    """A keyword's marks of which every text that holds it has all: its ASCII runs, or without any its first pair."""
-    found = F.filter(F.split(keyword, "[^a-z0-9]+"), lambda w: w != "")
-    return F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(F.concat(F.lit("~"), F.substring(keyword, 1, 2))))
-
+#: Places of hashed words: what tasks know of the keywords beforehand.
+PLACES = 1 << 20
+
+
+def place(word: str) -> int:
+    return zlib.crc32(word.encode()) % PLACES
+
+
+#: Of a word that meets no keyword.
+NOTHING = ((), (), (), ())
+
+
+def pieces(word: str, widest: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the parts of ``widest`` characters at most that have no ASCII letter or digit right before or after them. Words are normalised, so their ASCII characters are letters and digits."""
+    n, other = len(word), [i for i, c in enumerate(word) if c > "\x7f"]
+    for at, i in enumerate([0, *(i + 1 for i in other if i + 1 < n)]):
+        for k in range(max(0, at - 1), len(other) + 1):
+            j = other[k] if k < len(other) else n
+            if j > i + widest:
+                break
+            if j > i:
+                yield i, j
+
+
+class Known(dict):
+    """A word's parts that may be a keyword, its first word (ends of the word), its last (fronts of it) and the second of more than two, by their places; remembered, as is which runs may be keywords."""
+
+    def __init__(self, whole: frozenset[int], first: frozenset[int], last: frozenset[int], second: frozenset[int], widest: int):
+        super().__init__()
+        self.sets, self.any, self.widest, self.runs = (whole, first, last, second), whole | first | last | second, widest, {}
+
+    def __missing__(self, word: str) -> tuple[tuple[str, ...], ...]:
+        if len(self) >= 1 << 18:
+            self.clear()
+        if word.isascii():
+            at = place(word)
+            out = tuple((word,) if at in s else () for s in self.sets) if at in self.any else NOTHING
+        else:
+            out = ([], [], [], [])
+            for i, j in pieces(word, self.widest):
+                if (at := place(part := word[i:j])) in self.any:
+                    for held, s, fits in zip(out, self.sets, (True, j == len(word), i == 0, j - i == len(word)), strict=True):
+                        if fits and at in s:
+                            held.append(part)
+            out = tuple(tuple(set(x)) for x in out) if any(out) else NOTHING
+        self[word] = out
+        return out
+
+    def run(self, words: str) -> bool:
+        if (held := self.runs.get(words)) is None:
+            if len(self.runs) >= 1 << 18:
+                self.runs.clear()
+            held = self.runs[words] = place(words) in self.sets[0]
+        return held
+
+
+def grams(text: str, known: Known, sizes: list[int]) -> set[str]:
+    """The words and runs of ``sizes`` words of a text that may be keywords."""
+    words, out = text.split(" "), set()
+    meets = [known[w] for w in words]
+    for at, mine in enumerate(meets):
+        if mine is NOTHING:
+            continue
+        out.update(mine[0])
+        if not mine[1] or at + 1 == len(words) or (after := meets[at + 1]) is NOTHING:
+            continue
+        for n in sizes:
+            if at + n > len(words):
+                break
+            if n > 2 and not after[3]:
+                break
+            if tails := meets[at + n - 1][2]:
+                between = words[at + 1 : at + n - 1]
+                out.update(g for h in mine[1] for t in tails if known.run(g := " ".join((h, *between, t))))
+    return out
+
+
+def met(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
+    """(key, column, keyword) of every different keyword found in every column, with no ASCII letter or digit right before or after it. ``columns``: name to label, in order; ``key`` is unique.
+
+    One pass over the texts, which are never shuffled: a text's words and runs of words, as long as keywords are, meet the keywords by equality. Only hashed places of the keywords (and of first,
+    second and last words, ``PLACES`` each at most) go to the tasks, to leave out what can't meet any.
+    """
+    words = stored(keywords.select("keyword").distinct(), "keywords")
+    w = F.split("keyword", " ")
+    ends = words.select("keyword", F.size(w).alias("n"), F.element_at(w, 1).alias("first"), F.element_at(w, -1).alias("last"), F.when(F.size(w) > 2, F.get(w, F.lit(1))).alias("second"), F.array_max(F.transform(w, F.length)).alias("widest"))
+    at = lambda c: F.collect_set((F.crc32(c) % PLACES).cast("int"))
+    several = F.col("n") > 1
+    held = ends.agg(at("keyword").alias("whole"), at(F.when(several, F.col("first"))).alias("first"), at(F.when(several, F.col("last"))).alias("last"), at(F.col("second")).alias("second"), F.collect_set(F.when(several, F.col("n"))).alias("sizes"), F.coalesce(F.max("widest"), F.lit(0)).alias("widest")).first()
+    whole, first, last, second, sizes, widest = held["whole"], held["first"], held["last"], held["second"], sorted(held["sizes"]), held["widest"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(frozenset(whole), frozenset(first), frozenset(last), frozenset(second), widest)
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                row, keyword = [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    mine = grams(text, known, sizes) if text else ()
+                    row += [i] * len(mine)
+                    keyword += mine
+                taken = part.select(["key", "column"]).take(pa.array(row, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(keyword, pa.string())], names=["key", "column", "keyword"])
 
-def holds(text: Column, keyword: Column) -> Column:
-    """Whether a normalised text holds a keyword with no ASCII letter or digit right before or after it."""
-    return F.regexp_like(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), keyword, F.lit(r"\E(?![a-z0-9])")))
+    cells = [rows.select(F.col(key).alias("key"), F.lit(i).alias("column"), plain_words(F.col(c)).alias("text")) for i, c in enumerate(columns)]
+    cells = reduce(DataFrame.unionByName, cells)  # no filter here: it would normalise texts twice
+    schema = T.StructType([cells.schema["key"], T.StructField("column", T.IntegerType()), T.StructField("keyword", T.StringType())])
+    return cells.mapInArrow(found, schema).join(words, "keyword").select("key", "column", "keyword")
 
 
 def fired(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
-    """(key, column, event, place, keyword) of every keyword found in every column. ``columns``: name to label, in order; ``key`` is unique.
+    """(key, column, event, place, keyword): what ``met`` finds, for each event of a keyword."""
+    keywords = stored(keywords, "keywords")
+    return met(rows, key, columns, keywords).join(keywords, "keyword").select("key", "column", "event", "place", "keyword")
 
-    A keyword is looked up by its rarest mark, so only texts with that mark meet it, by equality; a keyword that is one word needs no more, others are then looked for in the text itself. Texts
-    don't travel with their marks.
-    """
-    cells = [rows.select(F.col(key).alias("key"), F.lit(i).alias("column"), plain_words(F.col(c)).alias("text")) for i, c in enumerate(columns)]
-    cells = reduce(DataFrame.unionByName, cells).where(F.coalesce(F.col("text") != "", F.lit(False)))
-    found = cells.select("key", "column", F.explode(marks(F.col("text"))).alias("mark"))
-    words = keywords.select("keyword").distinct().select("keyword", F.explode(own_marks(F.col("keyword"))).alias("mark"))
-    often = found.join(words.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.count("*").alias("n"))
-    rarest = words.join(often, "mark", "left").groupBy("keyword").agg(F.min_by("mark", F.struct(F.coalesce("n", F.lit(0)), "mark")).alias("mark"))
-    met = found.join(rarest, "mark")
-    sure = met.where("keyword = mark").select("key", "column", "keyword")
-    open_ = met.where("keyword <> mark").select("key", "column", "keyword").join(cells, ["key", "column"]).where(holds(F.col("text"), F.col("keyword"))).select("key", "column", "keyword")
-    return sure.unionByName(open_).join(keywords, "keyword").select("key", "column", "event", "place", "keyword")
+
+def times(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
+    """(column, keyword, n): how many rows ``fired`` has of each, counted before keywords meet their events."""
+    keywords = stored(keywords, "keywords")
+    found = met(rows, key, columns, keywords).groupBy("column", "keyword").agg(F.count("*").alias("rows"))
+    return found.join(keywords.groupBy("keyword").agg(F.count("*").alias("events")), "keyword").select("column", "keyword", (F.col("rows") * F.col("events")).alias("n"))
 
 
 def specific(found: DataFrame, labels: list[str], least: int = 2) -> DataFrame:

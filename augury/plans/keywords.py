@@ -51,8 +51,8 @@ def specific_rows(spark, d):
 @query(f"with {FIRED} select field, keyword, count(*) as n from fired group by field, keyword")
 def keyword_fields(spark, d):
     """How often each keyword was found in each field."""
-    found = K.fired(table(spark, d, "documents"), "doc_id", COLUMNS, K.in_order(K.derived(entities(spark, d))))
-    return found.groupBy(F.get(F.array(*map(F.lit, COLUMNS.values())), F.col("column")).alias("field"), "keyword").agg(F.count("*").alias("n"))
+    n = K.times(table(spark, d, "documents"), "doc_id", COLUMNS, K.in_order(K.derived(entities(spark, d))))
+    return n.select(F.get(F.array(*map(F.lit, COLUMNS.values())), F.col("column")).alias("field"), "keyword", "n")
 
 
 SLUG = "left(replace(replace(translate(regexp_replace(string_split(regexp_replace(url, '/+$', ''), '/')[-1], '[?#].*$', ''), '_-', '  '), '.html', ''), '.htm', ''), 200)"
