@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,34 +105,50 @@ class Known(dict):
         return held
 
 
-def grams(text: str, known: Known, sizes: list[int]) -> set[str]:
-    """The words and runs of ``sizes`` words of a text that may be keywords."""
-    words, out = text.split(" "), set()
+def grams(texts: pa.Array, known: Known, sizes: list[int]) -> tuple[list[int], list[str]]:
+    """The words and runs of ``sizes`` words that may be keywords, each once per text, as places of texts and strings. Every different word is looked up once for all texts."""
+    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    coded = split.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     meets = [known[w] for w in words]
-    for at, mine in enumerate(meets):
-        if mine is NOTHING:
-            continue
-        out.update(mine[0])
-        if not mine[1] or at + 1 == len(words) or (after := meets[at + 1]) is NOTHING:
-            continue
-        for n in sizes:
-            if at + n > len(words):
-                break
-            if n > 2 and not after[3]:
-                break
-            if tails := meets[at + n - 1][2]:
-                between = words[at + 1 : at + n - 1]
-                out.update(g for h in mine[1] for t in tails if known.run(g := " ".join((h, *between, t))))
-    return out
-
-
-def met(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
-    """(key, column, keyword) of every different keyword found in every column, with no ASCII letter or digit right before or after it. ``columns``: name to label, in order; ``key`` is unique.
-
-    One pass over the texts, which are never shuffled: a text's words and runs of words, as long as keywords are, meet the keywords by equality. Only hashed places of the keywords (and of first,
-    second and last words, ``PLACES`` each at most) go to the tasks, to leave out what can't meet any.
+    some = [(i, m) for i, m in enumerate(meets) if m is not NOTHING]
+    whole, first, last, second = np.zeros((4, len(words)), bool)
+    for k, flag in enumerate((whole, first, last, second)):
+        flag[[i for i, m in some if m[k]]] = True
+    parts: dict[str, int] = {}
+    held, many = [], np.zeros(len(words), np.int64)
+    for i, m in some:
+        held += [parts.setdefault(p, len(parts)) for p in m[0]]
+        many[i] = len(m[0])
+    starts, held = np.cumsum(many) - many, np.array(held, np.int64)
+    whole, first, last, second = whole[code], first[code], last[code], second[code]
+    hits = pc.unique(pa.array((text * len(words) + code)[whole])).to_numpy()
+    of, w = hits // max(1, len(words)), hits % max(1, len(words))
+    n = many[w]
+    ids = held[np.repeat(starts[w] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    hits = pc.unique(pa.array(np.repeat(of, n) * len(parts) + ids)).to_numpy()  # words with letters beyond ASCII may share a part
+    names = list(parts)
+    row, out = (hits // max(1, len(parts))).tolist(), [names[i] for i in (hits % max(1, len(parts))).tolist()]
+    runs = set()
+    for n in sizes:
+        if n > len(code):
+            break
+        fits = first[: len(code) - n + 1] & last[n - 1 :] & (text[: len(code) - n + 1] == text[n - 1 :])
+        if n > 2:
+            fits &= second[1 : len(code) - n + 2]
+        at = np.flatnonzero(fits)
+        for t, *run in set(zip(text[at].tolist(), *(code[at + k].tolist() for k in range(n)), strict=True)):
+            between = [words[c] for c in run[1:-1]]
+            runs.update((t, g) for h in meets[run[0]][1] for e in meets[run[-1]][2] if known.run(g := " ".join((h, *between, e))))
+    return row + [t for t, _ in runs], out + [g for _, g in runs]  # a run has a space, a part has none
+
+
+def candidates(rows: DataFrame, key: str, columns: dict[str, str], words: DataFrame) -> DataFrame:
+    """(key, column, keyword) of what may be a keyword in every column: all that are, and a few strings of the same hashed places. ``words``: different keywords, stored.
+
+    One pass over the rows, whose texts are never shuffled. Only hashed places of the keywords (and of first, second and last words, ``PLACES`` each at most) go to the tasks, to leave out what can't meet any.
     """
-    words = stored(keywords.select("keyword").distinct(), "keywords")
     w = F.split("keyword", " ")
     ends = words.select("keyword", F.size(w).alias("n"), F.element_at(w, 1).alias("first"), F.element_at(w, -1).alias("last"), F.when(F.size(w) > 2, F.get(w, F.lit(1))).alias("second"), F.array_max(F.transform(w, F.length)).alias("widest"))
     at = lambda c: F.collect_set((F.crc32(c) % PLACES).cast("int"))
@@ -144,24 +161,26 @@ def met(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame)
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                row, keyword = [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    mine = grams(text, known, sizes) if text else ()
-                    row += [i] * len(mine)
-                    keyword += mine
-                taken = part.select(["key", "column"]).take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(keyword, pa.string())], names=["key", "column", "keyword"])
-
-    cells = [rows.select(F.col(key).alias("key"), F.lit(i).alias("column"), plain_words(F.col(c)).alias("text")) for i, c in enumerate(columns)]
-    cells = reduce(DataFrame.unionByName, cells)  # no filter here: it would normalise texts twice
+                for i in range(1, part.num_columns):
+                    row, keyword = grams(part.column(i), known, sizes)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array([i - 1] * len(row), pa.int32()), pa.array(keyword, pa.string())], names=["key", "column", "keyword"])
+
+    cells = rows.select(F.col(key).alias("key"), *[plain_words(F.col(c)).alias(f"text{i}") for i, c in enumerate(columns)])  # no filter here: it would normalise texts twice
     schema = T.StructType([cells.schema["key"], T.StructField("column", T.IntegerType()), T.StructField("keyword", T.StringType())])
-    return cells.mapInArrow(found, schema).join(words, "keyword").select("key", "column", "keyword")
+    return cells.mapInArrow(found, schema)
+
+
+def met(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
+    """(key, column, keyword) of every different keyword found in every column, with no ASCII letter or digit right before or after it. ``columns``: name to label, in order; ``key`` is unique. Words and runs of words, as long as keywords are, meet the keywords by equality."""
+    words = stored(keywords.select("keyword").distinct(), "keywords")
+    return candidates(rows, key, columns, words).join(words, "keyword").select("key", "column", "keyword")
 
 
 def fired(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:
-    """(key, column, event, place, keyword): what ``met`` finds, for each event of a keyword."""
+    """(key, column, event, place, keyword): what ``met`` finds, for each event of a keyword. Finds are dealt by key before they meet their events, so that grouping by key moves them once, and once per keyword instead of per event."""
     keywords = stored(keywords, "keywords")
-    return met(rows, key, columns, keywords).join(keywords, "keyword").select("key", "column", "event", "place", "keyword")
+    found = candidates(rows, key, columns, stored(keywords.select("keyword").distinct(), "words")).repartition("key")
+    return found.join(keywords, "keyword").select("key", "column", "event", "place", "keyword")
 
 
 def times(rows: DataFrame, key: str, columns: dict[str, str], keywords: DataFrame) -> DataFrame:

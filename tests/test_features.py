@@ -73,6 +73,18 @@ def test_texts_are_searched_once_and_not_shuffled(spark):
     assert "regexp_like" not in p.lower() and "rlike" not in p.lower() and "SortMergeJoin" not in p
 
 
+def test_finds_are_moved_once_by_key(spark):
+    rows = [(1, "x oil", "gas"), (1, "gas", None), (2, "oil oil", "oil"), (3, "", "a b"), (4, "lait, élait", "aéb")]
+    kws = [("e", 0, "oil"), ("e", 1, "gas"), ("f", 0, "a b"), ("f", 1, "lait"), ("f", 2, "b c d e f")]
+    found = K.fired(spark.createDataFrame(rows, "id long, t string, u string"), "id", {"t": "t", "u": "u"}, spark.createDataFrame(kws, "event string, place int, keyword string"))
+    assert sorted((r["key"], r["column"], r["keyword"]) for r in found.collect()) == [(1, 0, "gas"), (1, 0, "oil"), (1, 1, "gas"), (2, 0, "oil"), (2, 1, "oil"), (3, 1, "a b"), (4, 0, "lait")]
+    out = K.specific(found, ["t", "u"])
+    assert {(r["key"], r["event"], r["n"], r["field"], r["keyword"]) for r in out.collect()} == {(1, "e", 2, "t", "oil"), (3, "f", 1, "u", "a b")}
+    p = plan(out).split("Initial Plan")[-1]
+    assert p.count("MapInArrow") == 1 and p.count("Exchange hashpartitioning") == 1
+    assert plan(QUERIES["specific_rows"](spark, D)).split("Initial Plan")[-1].count("documents.parquet") == 1
+
+
 def test_filters_of_samples(spark):
     df = spark.createDataFrame([("https://x/Red-Sea_ships.html?q",), ("https://x/oil",), (None,)], "url string")
     hay = K.haystack(F.col("url"))
