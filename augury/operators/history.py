@@ -158,7 +158,7 @@ def held_out_scores(df: DataFrame, features: list[str], label: str, group: str,
     fields = [df.schema[group].dataType, T.ArrayType(T.DoubleType()), T.DoubleType()]
     known = df.sparkSession.createDataFrame(models, T.StructType([T.StructField(c, t) for c, t in zip(("__g", "__slope", "__at"), fields, strict=True)]))
     logit = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.get("__slope", F.lit(i)) for i, c in enumerate(features)), F.col("__at"))
-    scored = df.join(known, F.col(group).eqNullSafe(F.col("__g")), "left")
+    scored = df.join(F.broadcast(known), F.col(group).eqNullSafe(F.col("__g")), "left")
     return scored.select(*[df[c] for c in df.columns], F.coalesce(1 / (1 + F.exp(-logit)), F.lit(0.5)).alias("score"))
 
 

@@ -159,6 +159,15 @@ def test_held_out_scores_of_odd_rows(spark):
     assert {r.coef for r in H.coefficients(df.limit(0), ["v"], "y").collect()} == {0.0}
 
 
+def test_scored_rows_are_not_moved(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, float(rng.normal()), i % 2, None if i % 17 == 0 else i % 17) for i in range(200)], "i int, v double, y int, g int").where("i >= 0")
+    got = H.held_out_scores(df, ["v"], "y", "g")
+    assert sorted(r.i for r in got.collect()) == list(range(200))
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and "SortMergeJoin" not in p
+
+
 def test_registered_scores_are_those_of_single_fits(spark):
     h, names = learning.featured(spark, SMALL)
     rows = h.where("pool = 0").collect()
