@@ -159,6 +159,13 @@ def test_held_out_scores_of_odd_rows(spark):
     assert {r.coef for r in H.coefficients(df.limit(0), ["v"], "y").collect()} == {0.0}
 
 
+def test_ranking_is_fitted_on_stored_features(spark, monkeypatch):
+    read, fit = [], H.coefficients
+    monkeypatch.setattr(H, "coefficients", lambda df, *a: read.append(df.inputFiles()) or fit(df, *a))
+    assert learning.coefficient_ranking(spark, SMALL).count() == 8
+    assert read[0] and not [f for f in read[0] if "lineitem" in f or "orders" in f]
+
+
 def test_scored_rows_are_not_moved(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, float(rng.normal()), i % 2, None if i % 17 == 0 else i % 17) for i in range(200)], "i int, v double, y int, g int").where("i >= 0")
