@@ -163,7 +163,7 @@ def held_out_scores(df: DataFrame, features: list[str], label: str, group: str,
 
 
 def coefficients(df: DataFrame, features: list[str], label: str, top: int = 8) -> DataFrame:
-    """(feature, coef) of the ``top`` largest by size, from a fit on all rows; all 0 without both labels."""
+    """(feature, coef) of the ``top`` largest by size, from a fit on all rows; all 0 without both labels. Sizes alike to nine places, such as those of two opposite categories, go by name: their last digits differ from run to run."""
     d = len(features)
     rows, stats = taught(df, features, label, F.lit(0))
     n, mean, square, ones = group_sums(stats, d)
@@ -173,5 +173,5 @@ def coefficients(df: DataFrame, features: list[str], label: str, top: int = 8) -
         rows = rows.persist()
         w = penalised_fits(rows, d, {}, m[None], v[None], m, v)[0, :d]
         rows.unpersist()
-    ranked = sorted(zip(features, map(float, w), strict=True), key=lambda r: (-abs(r[1]), r[0]))[:top]
+    ranked = sorted(zip(features, map(float, w), strict=True), key=lambda r: (-round(abs(r[1]), 9), r[0]))[:top]
     return df.sparkSession.createDataFrame(ranked, "feature string, coef double")

@@ -166,6 +166,14 @@ def test_ranking_is_fitted_on_stored_features(spark, monkeypatch):
     assert read[0] and not [f for f in read[0] if "lineitem" in f or "orders" in f]
 
 
+def test_coefficients_of_one_size_are_ranked_by_name(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), -float(i), i % 3 == 0) for i in range(9)], "a double, b double, y boolean").withColumn("y", F.col("y").cast("int"))
+    for w in ([0.25, -0.25 - 1e-15, 0.0], [0.25 + 1e-15, -0.25, 0.0]):
+        monkeypatch.setattr(H, "penalised_fits", lambda *a, w=w: np.array([w]))
+        assert [r.feature for r in H.coefficients(df, ["a", "b"], "y").collect()] == ["a", "b"]
+        assert [r.feature for r in H.coefficients(df, ["a", "b"], "y", top=1).collect()] == ["a"]
+
+
 def test_scored_rows_are_not_moved(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, float(rng.normal()), i % 2, None if i % 17 == 0 else i % 17) for i in range(200)], "i int, v double, y int, g int").where("i >= 0")
